@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import shared, substring
+from . import lm, shared, substring
 
 
 def _ready(f):
@@ -17,7 +17,7 @@ def _ready(f):
 
 
 def queries():
-    found = {"op8_substring_dedup": substring.op8}
+    found = {"op1_lm_scoring": lm.op1, "op8_substring_dedup": substring.op8}
     return {name: _ready(f) for name, f in found.items()}
 
 
