@@ -30,6 +30,9 @@ ROOT_TOKENS = 2.0
 #: Nats that a context's own counts must save over the root's.
 THRESHOLD = 3.0
 HEAD_BITS = 15
+#: Contexts are told apart by 56 bits and a context's successors by 28, which keeps requests short.
+CONTEXT_BITS = U(0xFFFFFFFFFFFFFF00)
+SYMBOL_SHIFT = U(36)
 END = U(0x6A09E667F3BCC909)
 
 
@@ -68,7 +71,7 @@ def contexts(tok: np.ndarray, off: np.ndarray, head: np.ndarray) -> tuple[np.nda
         found[done] = acc[done]
         open_[done] = False
     at = np.flatnonzero(~open_)
-    return at, found[at]
+    return at, found[at] & CONTEXT_BITS
 
 
 def vocabulary(base: DataFrame, buckets: int) -> DataFrame:
@@ -129,7 +132,7 @@ def _ask(tok, off, train, head, chunk: int, buckets: int):
     rare = ~member(tok, head)
     uni, _, _, uni_place = packed.distinct(tok[rare])
     at, ctx = contexts(tok, off, head)
-    sym = (tok[at] >> U(32)).astype(np.uint32)
+    sym = (tok[at] >> SYMBOL_SHIFT).astype(np.uint32)
     in_training = np.repeat(train, np.diff(off))[at]
     keys, syms, seen, place = packed.distinct(ctx, sym, in_training)
     rows = []
@@ -212,7 +215,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         h, c = model.value
-        sym = (h >> U(32)).astype(np.uint32)
+        sym = (h >> SYMBOL_SHIFT).astype(np.uint32)
         order = np.argsort(sym, kind="stable")
         return _answer(asked, known, sym[order], (c / max(n, 1))[order], tail_p)
 
