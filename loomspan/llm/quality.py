@@ -1,11 +1,13 @@
 """Quality selection by importance resampling over hashed n-grams.
 
-Two generative models over hashed word unigrams and bigrams: the raw model from all documents, the target model from
-labelled good ones. The target's estimate for a feature leans on the raw model with PRIOR pseudo-counts, so features too
-rare to tell weigh nothing, and the log ratios are centred on the target's median token, so that length alone decides
-nothing. A document's log importance weight is the sum of its features' log ratios. Documents are then drawn without
+Two generative models over hashed features, the raw model from a bounded sample of labelled rows, the target model from
+the good ones among them. Features are word unigrams, and unigrams and bigrams of word shapes (kinds of characters,
+length, repetition of the word before), which hold for words never seen. Probabilities are of a document holding the
+feature, so that a burst in one document counts once. A feature's log ratio counts by what it exceeds DEAD_ZONE, and
+only if the target's count is Z standard errors off: rare words and topics then weigh nothing, and length alone decides
+nothing. A document's log importance weight is the sum over its features' occurrences. Documents are drawn without
 replacement by Gumbel top-k: the k largest sums of log weight and Gumbel noise. k is the number of documents whose
-weight reaches the value that best tells apart a bounded sample of labelled rows.
+weight reaches the value that best tells apart the labelled sample.
 
 The noise is a function of the document's id and text, so a repeated run draws the same documents.
 """
@@ -20,60 +22,81 @@ from pyspark.sql import functions as F
 from . import packed, shared, words
 
 U = np.uint64
-#: Hashed features: the size of both models, and so of what is broadcast (8 bytes each).
-FEATURE_BITS = 18
-PRIOR = 8.0
+#: Hashed features: the size of the models, and so of what is broadcast (16 MB).
+FEATURE_BITS = 22
+PRIOR = 1.0
+DEAD_ZONE = 0.5
+Z = 2.5
 #: At most so many labelled rows are used, those with the least hashes of their ids.
 LABELLED_ROWS = 65_536
 _SLICES = 16
 
 
-def features(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all unigrams and bigrams, and the texts' ranges."""
-    w = words.scan(texts, lower=True)
-    n = len(w.hash)
-    place = w.doc
-    pair = np.flatnonzero(place[1:] == place[:-1]) if n else np.empty(0, np.int64)
-    two = words.mix(w.hash[pair] * U(0xA24BAED4963EE407) + w.hash[pair + 1])
-    own = np.concatenate([place, place[pair]])
-    order = np.argsort(own, kind="stable")
-    return (np.concatenate([w.hash, two])[order] >> U(64 - FEATURE_BITS)).astype(np.int64), np.searchsorted(own[order], np.arange(len(w.off)))
+#: Kinds of bytes: other, small letter or part of a longer character, capital, digit, then each mark by itself.
+_KIND = np.zeros(256, np.uint8)
+_KIND[128:] = _KIND[97:123] = 1
+_KIND[65:91] = 2
+_KIND[48:58] = 3
+for _i, _c in enumerate(b".,!?#$%&*|:;-_/@\"'()<>"):
+    _KIND[_c] = 4 + _i
 
 
-def _model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Feature counts in all texts and in the good ones: two arrays of 2**FEATURE_BITS."""
+def features(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Feature numbers of all words, shapes and pairs of shapes, and each one's text."""
+    w = words.scan(texts, lower=True)
+    n, doc = len(w.hash), w.doc
+    kind = _KIND[w.data]
+    first = np.ones(n, bool)
+    first[1:] = doc[1:] != doc[:-1]
+    again = np.zeros(n, U)
+    again[1:] = (w.hash[1:] == w.hash[:-1]) & ~first[1:]
+    shape = np.minimum(np.log2(np.maximum(w.end - w.start, 1)).astype(U), U(7)) * U(2) + again
+    for at in (w.start, (w.start + w.end - 1) // 2, np.maximum(w.end - 2, w.start), w.end - 1):
+        shape = shape * U(32) + kind[at]
+    shape = words.mix(shape + U(12345))
+    pair = np.flatnonzero(~first[1:])
+    two = words.mix(shape[pair] * U(0xA24BAED4963EE407) + shape[pair + 1])
+    return (np.concatenate([w.hash, shape, two]) >> U(64 - FEATURE_BITS)).astype(np.int64), np.concatenate([doc, doc, doc[pair]])
+
+
+def _model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """For each feature the numbers of raw and of good texts that have it; the numbers of raw and of good texts."""
     size = 1 << FEATURE_BITS
 
     def count(batches):
-        raw, target = np.zeros(size, np.int64), np.zeros(size, np.int64)
-        for b in batches:
-            f, off = features(b["text"])
-            good = np.repeat(b["good"].fill_null(0).to_numpy(zero_copy_only=False) > 0, np.diff(off))
-            raw += np.bincount(f, minlength=size)
-            target += np.bincount(f[good], minlength=size)
+        raw, target = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        n = np.zeros(2, np.int64)
+        for b in (part for whole in batches for part in words.slices(whole)):
+            f, doc = features(b["text"])
+            good = b["good"].to_numpy(zero_copy_only=False) > 0
+            one = np.unique(doc << FEATURE_BITS | f)
+            f, doc = one & (size - 1), one >> FEATURE_BITS
+            np.add.at(raw, f, 1)
+            np.add.at(target, f[good[doc]], 1)
+            n += (len(good), good.sum())
         part = size // _SLICES
-        yield from packed.request_rows([(i, 0, 0, packed.frame(packed.pack(raw[i * part : (i + 1) * part]), packed.pack(target[i * part : (i + 1) * part]))) for i in range(_SLICES)]).to_batches()
+        yield from packed.request_rows([(i, 0, 0, packed.frame(packed.pack(raw[i * part : (i + 1) * part]), packed.pack(target[i * part : (i + 1) * part]), packed.pack(n))) for i in range(_SLICES)]).to_batches()
 
     def total(t: pa.Table) -> pa.Table:
-        parts = [packed.unframe(p) for p in t["payload"].to_pylist()]
-        return packed.request_rows([(t["bucket"][0].as_py(), 0, 0, packed.frame(*(packed.pack(sum(packed.unpack(p[k]) for p in parts)) for k in range(2))))])
+        sums = [0, 0, 0]
+        for p in t["payload"]:
+            sums = [s + packed.unpack(x).astype(np.int64) for s, x in zip(sums, packed.unframe(p.as_py()))]
+        return packed.request_rows([(t["bucket"][0].as_py(), 0, 0, packed.frame(*map(packed.pack, sums)))])
 
     rows = docs.select("text", "good").mapInArrow(count, packed.REQUEST).groupBy("bucket").applyInArrow(total, packed.REQUEST).collect()
+    if not rows:
+        return np.zeros(size, np.int64), np.zeros(size, np.int64), 0, 0
     parts = [packed.unframe(r["payload"]) for r in sorted(rows, key=lambda r: r["bucket"])]
-    if not parts:
-        return np.zeros(size, np.int64), np.zeros(size, np.int64)
-    return tuple(np.concatenate([packed.unpack(p[k]) for p in parts]) for k in range(2))
+    n = packed.unpack(parts[0][2])
+    return *(np.concatenate([packed.unpack(p[k]) for p in parts]) for k in range(2)), int(n[0]), int(n[1])
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Each feature's log ratio of target and raw probability, smoothed and centred."""
-    expected = raw * (target.sum() / max(raw.sum(), 1))
+def log_ratios(raw: np.ndarray, target: np.ndarray, n_raw: int, n_target: int) -> np.ndarray:
+    """Each feature's log ratio of target and raw probability, as far as it is large and certain."""
+    expected = raw * (n_target / max(n_raw, 1))
     ratio = np.log((target + PRIOR) / (expected + PRIOR))
-    if target.sum():
-        order = np.argsort(ratio)
-        ratio = ratio - ratio[order][np.searchsorted(np.cumsum(target[order]), target.sum() / 2)]
-        ratio[raw == 0] = 0.0
-    return ratio
+    ratio[np.abs(target - expected) < Z * np.sqrt(expected + 1)] = 0.0
+    return np.sign(ratio) * np.maximum(np.abs(ratio) - DEAD_ZONE, 0)
 
 
 def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
@@ -130,14 +153,13 @@ def weighted(docs: DataFrame, labels: DataFrame, good: Column | None = None, id_
     text, key = inner[f"c{names.index(text_col)}"].cast("string"), inner[f"c{names.index(id_col)}"]
     base = inner.withColumns({"text": text, "noise": -F.log(-F.log((F.pmod(F.xxhash64(F.lit(17), key, text), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))})
     marked = base.join(F.broadcast(sample), key == sample["label_id"], "left")
-    raw, target = _model(marked)
-    ratio = spark.sparkContext.broadcast(log_ratios(raw, target).astype(np.float32))
+    ratio = spark.sparkContext.broadcast(log_ratios(*_model(marked.where("good IS NOT NULL"))).astype(np.float32))
 
     def weigh(batches):
-        for b in batches:
-            f, off = features(b["text"])
-            sums = np.concatenate([[0.0], np.cumsum(ratio.value[f].astype(np.float64))])
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums[off[1:]] - sums[off[:-1]])], [*b.schema.names[:-1], "log_weight"])
+        for b in (part for whole in batches for part in words.slices(whole)):
+            f, doc = features(b["text"])
+            sums = np.bincount(doc, weights=ratio.value[f], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums)], [*b.schema.names[:-1], "log_weight"])
 
     small = marked.select("good", "noise", "text")
     table = shared.written(_mapped(small, weigh, "good int, noise double"), "weights")
