@@ -136,3 +136,16 @@ def windows(w: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     at = np.flatnonzero(ok)
     values = mix(w.hash + U(seed)) if seed else w.hash
     return at, mix(spans(values, at, at + k))
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+    """Consecutive parts of a batch with about `most` bytes of text each, one row at least."""
+    texts = batch.column(batch.schema.get_field_index(column))
+    if not batch.num_rows:
+        return
+    _, off = buffers(texts)
+    i = 0
+    while i < batch.num_rows:
+        j = min(max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1), batch.num_rows)
+        yield batch.slice(i, j - i)
+        i = j
