@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import lm, near, quality, shared, substring
+from . import decontaminate, fingerprint, lm, near, quality, shared, substring
 
 
 def _ready(f):
@@ -17,9 +17,16 @@ def _ready(f):
 
 
 def queries():
-    found = {"op1_lm_scoring": lm.op1, "op6_quality_resampling": quality.op6, "op7_near_duplicates": near.op7, "op8_substring_dedup": substring.op8}
+    found = {
+        "op1_lm_scoring": lm.op1,
+        "op2_decontamination": decontaminate.op2,
+        "op4_fingerprints": fingerprint.op4,
+        "op6_quality_resampling": quality.op6,
+        "op7_near_duplicates": near.op7,
+        "op8_substring_dedup": substring.op8,
+    }
     return {name: _ready(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_decontamination": decontaminate.OP2_SQL}
