@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import decontaminate, fingerprint, lm, near, quality, shared, substring
+from . import decontaminate, fingerprint, lm, near, packing, quality, shared, substring
 
 
 def _ready(f):
@@ -20,6 +20,7 @@ def queries():
     found = {
         "op1_lm_scoring": lm.op1,
         "op2_decontamination": decontaminate.op2,
+        "op3_best_fit_packing": packing.op3,
         "op4_fingerprints": fingerprint.op4,
         "op6_quality_resampling": quality.op6,
         "op7_near_duplicates": near.op7,
