@@ -146,7 +146,7 @@ def _ask(tok, off, train, head, chunk: int, buckets: int):
 
 
 def _answer(asked: pa.Table, vocab: pa.Table, head_sym: np.ndarray, head_p: np.ndarray, tail_p: float) -> pa.Table:
-    """One bucket: word counts, and for each (context, symbol) pair the symbol's and the context's counts and its number of successors, zeros unless the context is retained."""
+    """One bucket: word counts, and for each (context, symbol) pair the symbol's and the context's counts and its number of successors, for pairs whose context is retained."""
     rows = asked.select(["bucket", "chunk", "payload"]).to_pylist()
     if not rows:
         return packed.request_rows([])
@@ -184,7 +184,9 @@ def _answer(asked: pa.Table, vocab: pa.Table, head_sym: np.ndarray, head_p: np.n
         j = i + len(k)
         near = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
         count = np.where(known[near] == u, totals[near], 0) if len(known) else np.zeros(len(u), np.int64)
-        out.append((r["bucket"], r["chunk"], 0, packed.frame(packed.pack(count.astype(np.uint32)), *(packed.pack(x[i:j].astype(np.uint32)) for x in (out_sym, out_ctx, out_kinds)))))
+        there = out_ctx[i:j] > 0
+        facts = [packed.pack(x[i:j][there].astype(np.uint32)) for x in (out_sym, out_ctx, out_kinds)]
+        out.append((r["bucket"], r["chunk"], 0, packed.frame(packed.pack(count.astype(np.uint32)), packed.pack(np.packbits(there)), len(there).to_bytes(8, "little"), *facts)))
         i = j
     return packed.request_rows(out)
 
@@ -229,7 +231,11 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         _, (rare, uni_place, n_uni, at, place, _) = _ask(tok, off, train, h, 0, 0)
         rows = sorted(((r["bucket"], r["payload"]) for r in found.to_pylist()), key=lambda r: r[0])
         parts = [packed.unframe(p) for _, p in rows]
-        uni, own, ctx, kinds = (np.concatenate([packed.unpack(p[i]) for p in parts]).astype(np.float64) for i in range(4))
+        uni = np.concatenate([packed.unpack(p[0]) for p in parts]).astype(np.float64)
+        there = np.concatenate([np.unpackbits(packed.unpack(p[1]), count=int.from_bytes(p[2], "little")) for p in parts]).astype(bool)
+        own, ctx, kinds = np.zeros((3, len(there)))
+        for k, x in enumerate((own, ctx, kinds)):
+            x[there] = np.concatenate([packed.unpack(p[3 + k]) for p in parts])
         count = np.zeros(len(tok))
         count[rare] = uni[uni_place] if n_uni else 0
         if len(h):
