@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import decontaminate, fingerprint, lm, near, packing, quality, shared, substring, warc
+from . import decontaminate, fingerprint, htmltext, lm, near, packing, quality, shared, substring, warc
 
 
 def _ready(f):
@@ -22,6 +22,7 @@ def queries():
         "op2_decontamination": decontaminate.op2,
         "op3_best_fit_packing": packing.op3,
         "op4_fingerprints": fingerprint.op4,
+        "op5_html_text": htmltext.op5,
         "op6_quality_resampling": quality.op6,
         "op7_near_duplicates": near.op7,
         "op8_substring_dedup": substring.op8,
