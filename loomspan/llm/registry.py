@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import wraps
 
-from . import decontaminate, fingerprint, htmltext, lm, near, packing, quality, shared, substring, warc
+from . import chat, decontaminate, fingerprint, htmltext, lm, near, packing, quality, shared, substring, warc
 
 
 def _ready(f):
@@ -27,9 +27,10 @@ def queries():
         "op7_near_duplicates": near.op7,
         "op8_substring_dedup": substring.op8,
         "op9_warc": warc.op9,
+        "op10_chat": chat.op10,
     }
     return {name: _ready(f) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.OP2_SQL, "op9_warc": warc.OP9_SQL}
+    return {"op2_decontamination": decontaminate.OP2_SQL, "op9_warc": warc.OP9_SQL, "op10_chat": chat.OP10_SQL}
