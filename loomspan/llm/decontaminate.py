@@ -18,6 +18,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Prefix rows that may be broadcast (about 150 bytes each).
 BROADCAST_ROWS = 200_000
 #: What separates words once A-Z are folded, and in the text as it is.
@@ -71,7 +73,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
     """
     base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("row_key", F.xxhash64("id", "text"))
     windows = item_windows(items, size, item_id, item_text)
-    found = hits(base, windows.select("win", "len").distinct())
+    found = shared.written(hits(base, windows.select("win", "len").distinct()), "hits")
     spans = found.groupBy("row_key").agg(F.collect_set(F.struct("start", "len")).alias("spans"))
     spans = spans.select("row_key", F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["start"], s["start"] + s["len"] - 1))))).alias("n_hit"))
     owners = found.select("row_key", "win").distinct().join(windows.select("win", F.col("item_id").cast("string").alias("item")), "win").groupBy("row_key").agg(F.sort_array(F.collect_set("item")).alias("item_ids"))
