@@ -143,7 +143,7 @@ def _mapped(df: DataFrame, weigh, fields: str) -> DataFrame:
 
 
 def weighted(docs: DataFrame, labels: DataFrame, good: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float, float]:
-    """All rows of `docs` with columns `log_weight` and `gumbel_key` added, the cut in weight, and the key of the k-th drawn."""
+    """All rows of `docs`, columns renamed c0, c1, ..., with `log_weight` and `gumbel_key`; the cut in weight; the key of the k-th drawn."""
     spark = docs.sparkSession
     good = (labels["quality"] == 1) & (labels["toxic"] == 0) if good is None else good
     sample = labels.select(labels[id_col].alias("label_id"), F.coalesce(good, F.lit(False)).cast("int").alias("good")).where("label_id IS NOT NULL")
@@ -171,12 +171,11 @@ def weighted(docs: DataFrame, labels: DataFrame, good: Column | None = None, id_
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
     order = [f.name for f in base.schema if f.name != "text"]
     out = _mapped(base.select(*order, "text"), weigh, fields)
-    out = out.withColumn("gumbel_key", F.col("log_weight") + F.col("noise")).drop("noise")
-    return out.toDF(*names, "log_weight", "gumbel_key"), cut, least
+    return out.withColumn("gumbel_key", F.col("log_weight") + F.col("noise")).drop("noise"), cut, least
 
 
-def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The drawn rows of `docs`, all columns, with `log_weight` and `gumbel_key` added.
+def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", scores: bool = True) -> DataFrame:
+    """The drawn rows of `docs`, all columns, and with `scores` their `log_weight` and `gumbel_key`.
 
     `labels` has the id, `quality` and `toxic` of some rows; a row is good if its quality is 1 and its toxicity 0 in all
     its labels, a null label counts as bad, and labels without an id or a document don't matter. Without good or without
@@ -185,7 +184,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     empty result. Other columns, whatever their names, are returned as they are.
     """
     out, _, least = weighted(docs, labels, None, id_col, text_col)
-    return out.where(F.col("gumbel_key") >= F.lit(float(least)))
+    out = out.where(F.col("gumbel_key") >= F.lit(float(least)))
+    return out.toDF(*docs.columns, "log_weight", "gumbel_key") if scores else out.drop("log_weight", "gumbel_key").toDF(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
