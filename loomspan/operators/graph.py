@@ -17,6 +17,7 @@ from loomspan.errors import TraversalIntoScalar, TraversalIntoSet
 from loomspan.functions.scalar import Json, Value, typed
 from loomspan.operators import predicates, traverse
 from loomspan.plans import specs
+from loomspan.sources.tables import importable
 
 FIELDS = "node string, field string, kind string, value string"
 MEMBERS = "node string, field string, member string"
@@ -134,6 +135,8 @@ class Graph:
         known = self.nodes.select("node", F.lit(None).cast("string").alias("field"), F.lit("node").alias("kind"), F.lit(None).cast("string").alias("value"))
         rows = self.reachable(roots, max_depth).join(own.unionByName(known), "node")
 
+        importable(self.spark)
+
         def build(group: pd.DataFrame) -> pd.DataFrame:
             root = group["root"].iloc[0]
             return pd.DataFrame({"root": [root], "value": [json.dumps(nested(group, root, max_depth), ensure_ascii=False, separators=(",", ":"))]})

@@ -73,6 +73,10 @@ def _weight(config: dict, field: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[x for k, w in config["fields"].items() for x in (F.lit(k), F.lit(float(w)))]), field), F.lit(1.0))
 
 
+def _is(term: str):
+    return lambda t: t == F.lit(term)
+
+
 def scores(docs: DataFrame, query: str, config: dict | None = None, fields: list[str] | None = None) -> DataFrame:
     """(id, score, hits) of every document with a positive score; hits: array of (field, terms, score).
 
@@ -84,7 +88,7 @@ def scores(docs: DataFrame, query: str, config: dict | None = None, fields: list
     if not wanted:
         return docs.select("id").where(F.lit(False)).select("id", F.lit(0.0).alias("score"), F.lit(None).cast("array<struct<field:string,terms:array<string>,score:double>>").alias("hits"))
     own = tokens(docs, config)
-    tf = [F.size(F.filter("terms", lambda t, w=w: t == w)).alias(f"t{i}") for i, w in enumerate(wanted)]
+    tf = [F.size(F.filter("terms", _is(w))).alias(f"t{i}") for i, w in enumerate(wanted)]
     per_field = own.select("id", "field", F.size("terms").alias("n"), *tf)
     names = [f"t{i}" for i in range(len(wanted))]
     per_doc = per_field.groupBy("id").agg(F.sum("n").alias("length"), *[F.sum(c).alias(c) for c in names], F.collect_list(F.when(sum(F.col(c) for c in names) > 0, F.struct("field", *names))).alias("fields"))
@@ -170,6 +174,11 @@ def string_leaves(value: Column, paths: list[str] | None = None) -> Column:
 
     A selected path that holds an object or array yields its string leaves joined by spaces, in path order.
     """
+    from pyspark.sql import SparkSession
+
     from loomspan.functions.leaves import selected_leaves
+    from loomspan.sources.tables import importable
+
+    importable(SparkSession.active())
 
     return selected_leaves(paths)(value)

@@ -108,7 +108,7 @@ def traverse(starts: DataFrame, edges: DataFrame, nodes: DataFrame, spec: dict |
         cut = page.select("depth", "rank").orderBy(F.desc("depth"), F.desc("rank")).limit(1).collect() if page.count() > spec["limit"] else []
         if cut:
             over = True
-            before = F.struct("depth", "rank") < F.struct(F.lit(cut[0]["depth"]), F.lit(cut[0]["rank"]))
+            before = F.struct("depth", "rank") < F.struct(F.lit(cut[0]["depth"]).cast("int").alias("depth"), F.lit(cut[0]["rank"]).cast("long").alias("rank"))
             rows, popped = rows.where(before), seen.where(before)
     deep = not popped.where((F.col("depth") >= spec["maxDepth"]) & F.col("known")).join(ways.select(F.col("from").alias("node")), "node", "left_semi").isEmpty()
     return Traversal(rows, popped.where("NOT known").select("node"), deep, over)
