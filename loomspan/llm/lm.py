@@ -30,12 +30,20 @@ ROOT_TOKENS = 2.0
 #: Nats that a context's own counts must save over the root's.
 THRESHOLD = 3.0
 HEAD_BITS = 15
-#: Contexts are told apart by 56 bits and a context's successors by 28, which keeps requests short.
-CONTEXT_BITS = U(0xFFFFFFFFFFFFFF00)
-SYMBOL_SHIFT = U(36)
+LEAST_HEAD = 1024
 END = U(0x6A09E667F3BCC909)
 
 
+def key_bits(n: int) -> tuple[int, int]:
+    """Bits that tell contexts, and a context's successors, apart in a corpus of n tokens.
+
+    As many as leave a given context unmixed with any other but for one in 2**20, in whole bytes, and a given successor
+    in the largest context but for one in 2**14: requests stay short, and equally exact at every size.
+    """
+    context = -(-(max(n, 1).bit_length() + 20) // 8) * 8
+    return min(context, 64), min(max(LEAST_HEAD, n >> HEAD_BITS).bit_length() + 14, 32)
+
+
 def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of each text, its end included, and the texts' ranges."""
     w = words.scan(texts, lower=True)
@@ -71,7 +79,7 @@ def contexts(tok: np.ndarray, off: np.ndarray, head: np.ndarray) -> tuple[np.nda
         found[done] = acc[done]
         open_[done] = False
     at = np.flatnonzero(~open_)
-    return at, found[at] & CONTEXT_BITS
+    return at, found[at]
 
 
 def vocabulary(base: DataFrame, buckets: int) -> DataFrame:
@@ -111,14 +119,14 @@ def vocabulary(base: DataFrame, buckets: int) -> DataFrame:
 
 
 def heads(vocab: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The at most 2**HEAD_BITS words with a relative frequency of 2**-HEAD_BITS or more: hashes and counts."""
+    """The at most 2**HEAD_BITS words with a relative frequency of 2**-HEAD_BITS and LEAST_HEAD occurrences or more: hashes and counts."""
 
     def frequent(batches):
         for b in batches:
             for p in b["payload"].to_pylist():
                 k, c = packed.unframe(p)
                 k, c = packed.unpack_sorted(k), packed.unpack(c)
-                top = c << HEAD_BITS >= n
+                top = (c << HEAD_BITS >= n) & (c >= LEAST_HEAD)
                 yield pa.RecordBatch.from_pydict({"k": pa.array(k[top].view(np.int64)), "c": pa.array(c[top], pa.int64())})
 
     got = vocab.select("payload").mapInArrow(frequent, "k long, c long").toArrow()
@@ -127,12 +135,13 @@ def heads(vocab: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return k[order], c[order]
 
 
-def _ask(tok, off, train, head, chunk: int, buckets: int):
+def _ask(tok, off, train, head, chunk: int, buckets: int, bits: tuple[int, int] = (64, 32)):
     """Requests of a chunk and what is needed to read the answers: distinct words and (context, symbol) pairs, each with its training count."""
     rare = ~member(tok, head)
     uni, _, _, uni_place = packed.distinct(tok[rare])
     at, ctx = contexts(tok, off, head)
-    sym = (tok[at] >> SYMBOL_SHIFT).astype(np.uint32)
+    ctx = ctx >> U(64 - bits[0]) << U(64 - bits[0])
+    sym = (tok[at] >> U(64 - bits[1])).astype(np.uint32)
     in_training = np.repeat(train, np.diff(off))[at]
     keys, syms, seen, place = packed.distinct(ctx, sym, in_training)
     rows = []
@@ -208,16 +217,17 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     head, head_n = heads(vocab, n)
     total = n + v + 1
     model = spark.sparkContext.broadcast((head, head_n))
+    bits = key_bits(n)
     tail_p = max((n - int(head_n.sum())) / max(v - len(head), 1), 1.0) / max(n, 1)
     base = packed.with_chunk(base, chunks, F.col("id"), F.col("text"))
 
     def ask(t: pa.Table) -> pa.Table:
         tok, off = tokens(t["text"])
-        return packed.request_rows(_ask(tok, off, t["train"].to_numpy(), model.value[0], t["chunk"][0].as_py(), buckets)[0])
+        return packed.request_rows(_ask(tok, off, t["train"].to_numpy(), model.value[0], t["chunk"][0].as_py(), buckets, bits)[0])
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
         h, c = model.value
-        sym = (h >> SYMBOL_SHIFT).astype(np.uint32)
+        sym = (h >> U(64 - bits[1])).astype(np.uint32)
         order = np.argsort(sym, kind="stable")
         return _answer(asked, known, sym[order], (c / max(n, 1))[order], tail_p)
 
@@ -228,14 +238,15 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         h, c = model.value
         tok, off = tokens(t["text"])
         train = t["train"].to_numpy()
-        _, (rare, uni_place, n_uni, at, place, _) = _ask(tok, off, train, h, 0, 0)
+        _, (rare, uni_place, n_uni, at, place, _) = _ask(tok, off, train, h, 0, 0, bits)
         rows = sorted(((r["bucket"], r["payload"]) for r in found.to_pylist()), key=lambda r: r[0])
         parts = [packed.unframe(p) for _, p in rows]
-        uni = np.concatenate([packed.unpack(p[0]) for p in parts]).astype(np.float64)
-        there = np.concatenate([np.unpackbits(packed.unpack(p[1]), count=int.from_bytes(p[2], "little")) for p in parts]).astype(bool)
+        joined = lambda arrays: np.concatenate([np.empty(0), *arrays])  # noqa: E731  without rare words and contexts nothing was asked
+        uni = joined(packed.unpack(p[0]) for p in parts)
+        there = joined(np.unpackbits(packed.unpack(p[1]), count=int.from_bytes(p[2], "little")) for p in parts).astype(bool)
         own, ctx, kinds = np.zeros((3, len(there)))
         for k, x in enumerate((own, ctx, kinds)):
-            x[there] = np.concatenate([packed.unpack(p[3 + k]) for p in parts])
+            x[there] = joined(packed.unpack(p[3 + k]) for p in parts)
         count = np.zeros(len(tok))
         count[rare] = uni[uni_place] if n_uni else 0
         if len(h):
