@@ -1,7 +1,7 @@
 """Canonical exact digests of texts, in DataFrame operations only.
 
-A text's canonical form is its compatibility composition (NFKC), case-folded (upper, then lower), each run of white
-space one space, trimmed. Its fingerprint is 128 bits of xxhash, two chains with different seeds, in hex. Grouping by it
+A text's canonical form is its compatibility composition (NFKC), case-folded (upper, then lower; sharp s
+as ss, final sigma as sigma), each run of white space one space, trimmed. Its fingerprint is 128 bits of xxhash, two chains with different seeds, in hex. Grouping by it
 is checked: inside a bucket with more than one row the canonical bytes are compared, and if they should differ, each
 form but the least gets a number after its fingerprint.
 """
@@ -20,7 +20,8 @@ RANGE_ROWS = 4096
 def canonical(text: Column) -> Column:
     """Normal form of a text; null counts as empty."""
     composed = F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(F.upper(composed)), r"[\s\p{Z}\x85]+", " "))
+    folded = F.replace(F.replace(F.lower(F.upper(composed)), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))
+    return F.trim(F.regexp_replace(folded, r"[\s\p{Z}\x85\x1C-\x1F]+", " "))
 
 
 def wide_hash(form: Column) -> Column:
