@@ -81,9 +81,14 @@ def classes(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components of undirected edges (u, v): rows (u, l), l the least vertex of u's component.
 
+    First each u keeps the edge to its least neighbour m, and its other neighbours get one to m in its place: where many
+    vertices share a few hubs, these become the same few edges.
     Rounds of least-neighbour labels with a jump to the label's label; each is written, so that lost executors cost one
     round at most. Their number grows with the logarithm of a component's diameter, as a rule.
     """
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    edges = least.withColumnRenamed("m", "v").unionByName(moved).distinct()
     e = shared.written(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{name}-edges")
     labels = shared.written(e.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")), f"{name}-labels")
     while True:
