@@ -33,4 +33,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": decontaminate.OP2_SQL, "op9_warc": warc.OP9_SQL, "op10_chat": chat.OP10_SQL}
+    return {"op2_decontamination": decontaminate.OP2_SQL, "op9_warc": warc.OP9_SQL, "op10_chat": chat.OP10_SQL, "op7_near_duplicates": near.OP7_SQL, "op8_substring_dedup": substring.OP8_SQL}

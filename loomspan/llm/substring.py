@@ -166,3 +166,17 @@ def op8(spark, sf_dir: str) -> DataFrame:
     out = remove_repeats(docs)
     words_only = F.array_join(F.filter(F.split("kept", "[ \\t-\\r]+"), lambda x: x != ""), " ")
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(words_only), 256).alias("kept_sha256"))
+
+
+OP8_SQL = """
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+k AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS win FROM s),
+r AS (SELECT win FROM k GROUP BY win HAVING count(*) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS pos FROM k JOIN r ON k.win = r.win),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+o AS (SELECT p.doc_id, count(*) FILTER (WHERE g.pos IS NOT NULL) AS n_removed, string_agg(word, ' ' ORDER BY p.pos) FILTER (WHERE g.pos IS NULL) AS kept
+      FROM p LEFT JOIN g ON p.doc_id = g.doc_id AND p.pos = g.pos GROUP BY p.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
