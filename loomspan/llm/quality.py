@@ -1,12 +1,12 @@
 """Quality selection by importance resampling over hashed n-grams.
 
 Two generative models over hashed features, the raw model from a bounded sample of labelled rows, the target model from
-the good ones among them. Features are word unigrams, and unigrams and bigrams of word shapes (kinds of characters,
-length, repetition of the word before), which hold for words never seen. Probabilities are of a document holding the
+the good ones among them. Features are words, words without the marks around them, and unigrams and bigrams of word
+shapes (kinds of characters, length, repetition of the word before), which hold for words never seen. Probabilities are of a document holding the
 feature, so that a burst in one document counts once. A feature's log ratio counts by what it exceeds DEAD_ZONE, and
-only if the target's count is Z standard errors off: rare words and topics then weigh nothing, and length alone decides
-nothing. A document's log importance weight is the sum over its features' occurrences. Documents are drawn without
-replacement by Gumbel top-k: the k largest sums of log weight and Gumbel noise. k is the number of documents whose
+only if the target's count is Z standard errors off: rare words and topics then weigh nothing. A document's log importance weight is the sum over its features'
+occurrences, tempered: SHARPNESS times, and less for longer texts, whose n-grams depend on each other the more, by
+1 + words / LENGTH. Documents are drawn without replacement by Gumbel top-k: the k largest sums of log weight and Gumbel noise. k is the number of documents whose
 weight reaches the value that best tells apart the labelled sample.
 
 The noise is a function of the document's id and text, so a repeated run draws the same documents.
@@ -26,7 +26,9 @@ U = np.uint64
 FEATURE_BITS = 22
 PRIOR = 1.0
 DEAD_ZONE = 0.5
-Z = 2.5
+Z = 2.0
+SHARPNESS = 4.0
+LENGTH = 1000
 #: At most so many labelled rows are used, those with the least hashes of their ids.
 LABELLED_ROWS = 65_536
 _SLICES = 16
@@ -41,8 +43,8 @@ for _i, _c in enumerate(b".,!?#$%&*|:;-_/@\"'()<>"):
     _KIND[_c] = 4 + _i
 
 
-def features(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Feature numbers of all words, shapes and pairs of shapes, and each one's text."""
+def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature numbers of all words, bare words, shapes and pairs of shapes, each one's text, and the texts' numbers of words."""
     w = words.scan(texts, lower=True)
     n, doc = len(w.hash), w.doc
     kind = _KIND[w.data]
@@ -56,7 +58,19 @@ def features(texts) -> tuple[np.ndarray, np.ndarray]:
     shape = words.mix(shape + U(12345))
     pair = np.flatnonzero(~first[1:])
     two = words.mix(shape[pair] * U(0xA24BAED4963EE407) + shape[pair + 1])
-    return (np.concatenate([w.hash, shape, two]) >> U(64 - FEATURE_BITS)).astype(np.int64), np.concatenate([doc, doc, doc[pair]])
+    core = words.mix(words.spans(words.folded(w.data), *_inner(w, kind)) + U(99))
+    hashes = np.concatenate([w.hash, core, shape, two])
+    return (hashes >> U(64 - FEATURE_BITS)).astype(np.int64), np.concatenate([doc, doc, doc, doc[pair]]), w.counts
+
+
+def _inner(w: words.Words, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each word's range of bytes without the marks around it; of a word of marks the last byte."""
+    plain = (kind >= 1) & (kind <= 3)
+    at = np.arange(len(kind))
+    after = np.minimum.accumulate(np.where(plain, at, len(kind))[::-1])[::-1]
+    before = np.maximum.accumulate(np.where(plain, at, -1))
+    start = np.minimum(after[w.start], w.end - 1)
+    return start, np.maximum(before[w.end - 1] + 1, start + 1)
 
 
 def _model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -67,7 +81,7 @@ def _model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         raw, target = np.zeros(size, np.int32), np.zeros(size, np.int32)
         n = np.zeros(2, np.int64)
         for b in (part for whole in batches for part in words.slices(whole)):
-            f, doc = features(b["text"])
+            f, doc, _ = features(b["text"])
             good = b["good"].to_numpy(zero_copy_only=False) > 0
             one = np.unique(doc << FEATURE_BITS | f)
             f, doc = one & (size - 1), one >> FEATURE_BITS
@@ -157,8 +171,8 @@ def weighted(docs: DataFrame, labels: DataFrame, good: Column | None = None, id_
 
     def weigh(batches):
         for b in (part for whole in batches for part in words.slices(whole)):
-            f, doc = features(b["text"])
-            sums = np.bincount(doc, weights=ratio.value[f], minlength=b.num_rows)
+            f, doc, n_words = features(b["text"])
+            sums = SHARPNESS * np.bincount(doc, weights=ratio.value[f], minlength=b.num_rows) / (1 + n_words / LENGTH)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums)], [*b.schema.names[:-1], "log_weight"])
 
     small = marked.select("good", "noise", "text")

@@ -138,6 +138,11 @@ def windows(w: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(spans(values, at, at + k))
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """The value of each byte in a hash, A-Z as a-z."""
+    return _LOWER_BYTE[data]
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
     """Consecutive parts of a batch with about `most` bytes of text each, one row at least."""
     texts = batch.column(batch.schema.get_field_index(column))
