@@ -28,8 +28,10 @@ TREES = 20
 MAX_DEPTH = 8
 RECALL = 0.9999
 #: Rows of a block in the verification of large groups.
-BLOCK = 256
+BLOCK = 128
 BLOCK_SHINGLES = 200_000
+#: Copies of what is known of a group, so that a large group's members are joined with it in that many tasks.
+SALT = 16
 _SEEDS = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, TREES * MAX_DEPTH, dtype=np.uint64) * U(2) + U(1)
 
 
@@ -142,6 +144,12 @@ def _links(rows: pa.Table, similarity: float) -> pa.Table:
     return pa.table({"v": pa.array(ids), "root": pa.array(ids[root]), "links": pa.array(links, pa.int64())})
 
 
+def _joined_by_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (v, l, ...) with the columns of `groups` (l, ...)."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALT - 1)))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALT)).cast("int")).join(groups.withColumn("salt", salt), ["l", "salt"]).drop("salt")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Links every two texts whose sets of `size`-word shingles have a Jaccard similarity of `similarity` or more.
 
@@ -171,18 +179,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     nodes = reps.select("v", F.explode("sig").alias("p"))
     tops = nodes.groupBy("p").agg(F.min("v").alias("top"), F.count("*").alias("m")).where("m > 1").drop("m")
     candidates = components(nodes.join(tops, "p").where("v <> top").select(F.col("v").alias("u"), F.col("top").alias("v")), "candidates")
-    candidates = candidates.join(reps.select(F.col("v").alias("u"), "copies", "row_key", "n"), "u")
+    candidates = candidates.withColumnRenamed("u", "v").join(reps.select("v", "copies", "row_key", "n"), "v")
     sizes = candidates.groupBy("l").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    members = candidates.join(sizes, "l").withColumn("block", F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int"))
+    members = _joined_by_group(candidates, sizes).withColumn("block", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
 
     def sets(batches):
         for b in (part for whole in batches for part in words.slices(whole)):
             h, off = shingles(b["text"], size)
             blobs = [packed.pack_sorted(h[i:j]) for i, j in zip(off[:-1], off[1:])]
-            keep = [b.schema.get_field_index(c) for c in ("l", "u", "block", "blocks", "copies")]
+            keep = [b.schema.get_field_index(c) for c in ("l", "v", "block", "blocks", "copies")]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in keep], pa.array(blobs, pa.binary())], ["l", "v", "block", "blocks", "copies", "set"])
 
-    texts = base.select("row_key", "text").join(members, "row_key").select("l", "u", "block", "blocks", "copies", "text")
+    texts = base.select("row_key", "text").join(members, "row_key").select("l", "v", "block", "blocks", "copies", "text")
     cells = texts.mapInArrow(sets, "l long, v long, block int, blocks int, copies long, set binary").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("l", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "v", "block", "copies", "set")
     found = shared.written(cells.groupBy("l", "a", "b").applyInArrow(lambda t: _links(t, similarity), "v long, root long, links long"), "links")
@@ -191,7 +199,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
     known = reps.select("v", "copies", "least").join(links, "v", "left").join(groups.withColumnRenamed("u", "v"), "v", "left").withColumn("l", F.coalesce("l", "v"))
     known = known.select("v", "l", "least", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
     firsts = known.groupBy("l").agg(F.min("least").alias("first"))
-    known = known.join(firsts, "l").select("v", F.col("first.id").alias("class_id"), F.col("first.row_key").alias("class_key"), "links")
+    known = _joined_by_group(known, firsts).select("v", F.col("first.id").alias("class_id"), F.col("first.row_key").alias("class_key"), "links")
     out = full.select("id", "row_key", "v").join(known, "v").select("id", "class_id", F.col("links").alias("n_links"), "row_key", "class_key")
     alone = signed.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), "row_key", F.col("row_key").alias("class_key"))
     return out.unionByName(alone).withColumnRenamed("id", id_col)
