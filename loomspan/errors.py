@@ -59,3 +59,15 @@ class CapabilityDenied(LoomError):
 
 class InvalidSpec(LoomError):
     """A specification has an unknown key, kind or value."""
+
+
+class BlobStoreUnavailable(LoomError):
+    """A blob is asked for and no store is open."""
+
+
+class TooManyWatches(LoomError):
+    """More watches than the limit."""
+
+
+class StrictScopeUnavailable(LoomError):
+    """A coordinated scope has no authority to decide."""

@@ -98,3 +98,50 @@ def state_watch(key: str, compute: Callable[[DataFrame, DataFrame], DataFrame],
 def windowed_counts(ops: DataFrame, time: str, width: str, late: str) -> DataFrame:
     """Operations per window of event time, late ones dropped behind the watermark. State of a fold must not be kept this way."""
     return ops.withWatermark(time, late).groupBy(F.window(time, width)).agg(F.count("*").alias("n"))
+
+
+def newest_records(log: DataFrame) -> DataFrame:
+    """Records of a log of puts and deletes (op_id, seq, key, kind, json, bytes, deleted): the last word on each key."""
+    last = log.groupBy("key").agg(F.max_by(F.struct("kind", "json", "bytes", "deleted"), "seq").alias("r"))
+    return last.where("NOT r.deleted").select("key", "r.kind", "r.json", "r.bytes")
+
+
+def record_watch(spec: dict) -> Watch:
+    """A page of a record scan, recomputed only when a key in its range is touched."""
+    from loomspan.operators import records
+    from loomspan.operators.predicates import key_range
+
+    inside = key_range(F.col("key"), spec.get("prefix"), spec.get("startAt"), spec.get("startAfter"), spec.get("endAt"), spec.get("endBefore"))
+    return Watch(f"records:{sorted(spec.items())}", lambda log: records.scan(newest_records(log), spec), inside)
+
+
+def text_watch(query: str, spec: dict, fields: list[str] | None = None) -> Watch:
+    """A text search over records whose JSON holds the documents."""
+    from loomspan.operators import text
+
+    def compute(log: DataFrame) -> DataFrame:
+        docs = newest_records(log).select(F.col("key").alias("id"), text.string_leaves(F.col("json"), fields).alias("fields"))
+        return text.search(docs, query, spec).select("id", F.round("score", 9).alias("score"))
+
+    return Watch(f"text:{query}:{sorted(spec.items())}:{fields}", compute)
+
+
+def vector_watch(query: list[float], spec: dict, metric: str = "l2") -> Watch:
+    """A nearest-neighbour search over records whose JSON is an array of numbers."""
+    from loomspan.operators import vector
+
+    def compute(log: DataFrame) -> DataFrame:
+        rows = newest_records(log).select(F.col("key").alias("id"), F.from_json("json", "array<double>").alias("embedding"))
+        return vector.search(rows, query, spec, metric)
+
+    return Watch(f"vector:{query}:{sorted(spec.items())}:{metric}", compute)
+
+
+def traversal_watch(path: str, spec: dict) -> Watch:
+    """A traversal over the folded state."""
+    from loomspan.operators.graph import Graph
+
+    def compute(fields: DataFrame, members: DataFrame) -> DataFrame:
+        return Graph(fields.withColumnRenamed("value_kind", "kind"), members).traverse(path, spec).rows
+
+    return state_watch(f"traverse:{path}:{sorted(spec.items(), key=str)}", compute)
