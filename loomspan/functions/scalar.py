@@ -121,17 +121,74 @@ class Native(Value):
         return [self.column.desc_nulls_last() if descending else self.column.asc_nulls_first()]
 
 
-def typed(raw: Column) -> Column:
-    """JSON text as a comparable struct (tag, rank, n, s, b, raw); null text gives a null struct, which is absence."""
-    tag = (
+def _tag(raw: Column) -> Column:
+    return (
         F.when(raw == "null", "null").when(raw.isin("true", "false"), "bool").when(raw.startswith('"'), "string").when(raw.startswith("["), "array").when(raw.startswith("{"), "object")
-        .when(raw.rlike(r"^-?\d+$"), "int").otherwise("float")
+        .when(raw.rlike(r"^-?\d+$"), "int").when(raw.isNotNull(), "float")
     )
+
+
+def _number(raw: Column) -> Column:
+    return F.when(raw.rlike(r"^-?\d"), raw.try_cast("double"))
+
+
+def _string(raw: Column) -> Column:
+    return F.when(raw.startswith('"'), F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")[0])
+
+
+def _whole(raw: Column) -> Column:
+    return F.when(raw.rlike(r"^[\[{]"), F.to_json(F.try_parse_json(raw))).otherwise(raw)
+
+
+def typed(raw: Column) -> Column:
+    """JSON text as a comparable struct (tag, rank, n, s, b, raw); null text gives a null struct, which is absence."""
+    tag = _tag(raw)
     rank = reduce(lambda acc, kv: acc.when(tag == kv[0], kv[1]), TYPE_RANK.items(), F)
-    number = F.when(tag.isin("int", "float"), raw.try_cast("double"))
-    string = F.when(tag == "string", F.from_json(F.concat(F.lit("["), raw, F.lit("]")), "array<string>")[0])
-    whole = F.when(tag.isin("array", "object"), F.to_json(F.try_parse_json(raw))).otherwise(raw)
-    return F.when(raw.isNotNull(), F.struct(tag.alias("tag"), rank.alias("rank"), number.alias("n"), string.alias("s"), (raw == "true").alias("b"), whole.alias("raw")))
+    parts = [tag.alias("tag"), rank.alias("rank"), _number(raw).alias("n"), _string(raw).alias("s"), (raw == "true").alias("b"), _whole(raw).alias("raw")]
+    return F.when(raw.isNotNull(), F.struct(*parts))
+
+
+class JsonText(Value):
+    """JSON text, compared without building the whole struct: each predicate evaluates what it needs."""
+
+    def __init__(self, raw: Column):
+        self.raw = raw
+
+    @property
+    def v(self) -> Column:
+        """The struct, to sort by."""
+        return typed(self.raw)
+
+    def exists(self) -> Column:
+        return self.raw.isNotNull()
+
+    def text(self) -> Column:
+        return _string(self.raw)
+
+    def eq(self, other) -> Column:
+        tag = tag_of(other)
+        if tag == "string":
+            same = _string(self.raw) == other
+        elif tag == "float":
+            same = (_number(self.raw) == other) & ~self.raw.rlike(r"^-?\d+$")
+        else:
+            same = (_whole(self.raw) if tag in ("array", "object") else self.raw) == canonical(other)
+        return F.coalesce(same, F.lit(False))
+
+    def compare(self, op: str, other) -> Column:
+        tag = tag_of(other)
+        if tag in ("array", "object"):
+            return F.lit(False)
+        if tag == "null":
+            return F.coalesce(self.raw == "null", F.lit(False)) if op in ("gte", "lte") else F.lit(False)
+        if tag == "bool":
+            mine = F.when(self.raw.isin("true", "false"), self.raw == "true")
+        else:
+            mine = _string(self.raw) if tag == "string" else _number(self.raw)
+        return F.coalesce(_OPS[op](mine, F.lit(other)), F.lit(False))
+
+    def order(self, descending: bool) -> list[Column]:
+        return Json(self.v).order(descending)
 
 
 class Json(Value):

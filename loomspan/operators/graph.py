@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomspan.errors import TraversalIntoScalar, TraversalIntoSet
-from loomspan.functions.scalar import Json, Value, typed
+from loomspan.functions.scalar import Json, JsonText, Value
 from loomspan.operators import predicates, traverse
 from loomspan.plans import specs
 from loomspan.sources.tables import importable
@@ -124,7 +124,7 @@ class Graph:
             if frontier.isEmpty():
                 break
             seen = seen.unionByName(frontier)
-        return seen
+        return seen  # one table a level
 
     def materialize(self, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
         """(root, value): nested JSON of each root. A node on the current path, an unknown one, or one beyond `max_depth` is {"$ref": id}.
@@ -156,7 +156,7 @@ class Graph:
         rows = walk.df if condition is None else walk.df.where(condition)
         rows = rows.select("key", "kind", "value", by.alias("__by"))
         order = [*Json(F.col("__by")).order(descending), F.asc("key")] if spec["order"] else [F.asc("key")]
-        page = predicates.paged(rows, order, spec["offset"], spec["limit"])
+        page = traverse.written(predicates.paged(rows, order, spec["offset"], spec["limit"]), "page")  # read for its roots and for itself
         roots = page.where("kind = 'link'").select(F.col("value").alias("root")).distinct()
         deep = self.materialize(roots, max_depth).withColumnRenamed("value", "deep")
         out = page.join(deep, (page["value"] == deep["root"]) & (page["kind"] == "link"), "left")
@@ -219,10 +219,10 @@ class Graph:
         def resolve(rows: DataFrame, filters: list[dict]):
             out = rows
             for i, f in enumerate({f["path"] for f in filters}):
-                own = self.fields.where(F.col("field") == f).select("node", typed(F.when(F.col("kind") == "scalar", F.col("value")).otherwise(_marked("$link", "value"))).alias(f"__f{i}_{f}"))
+                own = self.fields.where(F.col("field") == f).select("node", F.when(F.col("kind") == "scalar", F.col("value")).otherwise(_marked("$link", "value")).alias(f"__f{i}_{f}"))
                 out = out.join(own, "node", "left")
             names = {c.split("_", 3)[3]: c for c in out.columns if c.startswith("__f")}
-            return out, lambda path: Json(F.col(names[path]))
+            return out, lambda path: JsonText(F.col(names[path]))
 
         result = traverse.traverse(starts, self.edges(), self.nodes, spec, resolve)
         if specs.traversal(spec)["includeValues"]:
@@ -286,19 +286,19 @@ class _Walk:
 
     def value(self, path: str) -> Value:
         if path == "$key":
-            return Json(typed(_quoted(F.col("key"))))
+            return JsonText(_quoted(F.col("key")))
         if path in ("", "$value"):
             if "__whole" not in self.df.columns:
                 roots = self.df.where("kind = 'link'").select(F.col("value").alias("root")).distinct()
                 deep = self.graph.materialize(roots, self.max_depth).select(F.col("root").alias("__root"), F.col("value").alias("__deep"))
                 self.df = self.df.join(deep, (F.col("value") == F.col("__root")) & (F.col("kind") == "link"), "left").withColumn("__whole", F.coalesce("__deep", "value")).drop("__root", "__deep")
-            return Json(typed(F.col("__whole")))
+            return JsonText(F.col("__whole"))
         kind, value = F.col("kind"), F.col("value")
         walked = ""
         segments = path.split(".")
         for i, s in enumerate(segments):
             if s == "$id" and i == len(segments) - 1:
-                return Json(typed(F.when(kind == "link", _quoted(value))))
+                return JsonText(F.when(kind == "link", _quoted(value)))
             walked = f"{walked}.{s}"
             name = self.made.get(walked)
             if name is None:
@@ -311,4 +311,4 @@ class _Walk:
                 self.df = self.df.join(state, (kind == "link") & (value == F.col("__n")), "left").withColumn(name, F.coalesce("__s", inside)).drop("__n", "__s")
             kind, value = F.col(f"{name}.kind"), F.col(f"{name}.value")
         whole = F.when(kind == "scalar", value).when(kind == "link", F.concat(F.lit('{"$id":'), _quoted(value), F.lit("}"))).when(kind == "set", F.lit('{"$set":[]}')).when(kind.isNotNull(), _quoted(value))
-        return Json(typed(whole))
+        return JsonText(whole)
