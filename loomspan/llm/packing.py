@@ -25,8 +25,8 @@ from . import shared, words
 
 #: Pieces in a task of the range sort.
 PIECES = 200_000
-#: Beyond this code point the fast tokenizer's character classes may be of another Unicode version.
-_PLAIN = 0x24F
+#: From this first byte of a character on (U+0240) the fast tokenizer's character classes may be of another Unicode version.
+_PLAIN = 0xC9
 
 
 def default_tokenizer() -> tuple[str, str]:
@@ -57,7 +57,7 @@ def _fast(path: str):
 
 def encode(text: str, vocabulary: str, ranks: str | None) -> np.ndarray:
     """Token ids of a text. The ranks give the same ids faster; texts with rarer characters or marks of special tokens take the exact way."""
-    if ranks and "<|" not in text and (text.isascii() or max(text) <= chr(_PLAIN)):
+    if ranks and "<|" not in text and (text.isascii() or np.frombuffer(text.encode(), np.uint8).max() < _PLAIN):
         return _fast(ranks).encode_to_numpy(text, disallowed_special=())
     return np.array(_exact(vocabulary).encode(text, add_special_tokens=False).ids, np.uint32)
 
