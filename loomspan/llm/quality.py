@@ -60,7 +60,8 @@ def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     two = words.mix(shape[pair] * U(0xA24BAED4963EE407) + shape[pair + 1])
     core = words.mix(words.spans(words.folded(w.data), *_inner(w, kind)) + U(99))
     hashes = np.concatenate([w.hash, core, shape, two])
-    return (hashes >> U(64 - FEATURE_BITS)).astype(np.int64), np.concatenate([doc, doc, doc, doc[pair]]), w.counts
+    doc = doc.astype(np.int32)
+    return (hashes >> U(64 - FEATURE_BITS)).astype(np.int32), np.concatenate([doc, doc, doc, doc[pair]]), w.counts
 
 
 def _inner(w: words.Words, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +84,7 @@ def _model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
         for b in (part for whole in batches for part in words.slices(whole)):
             f, doc, _ = features(b["text"])
             good = b["good"].to_numpy(zero_copy_only=False) > 0
-            one = np.unique(doc << FEATURE_BITS | f)
+            one = np.unique(doc.astype(np.int64) << FEATURE_BITS | f)
             f, doc = one & (size - 1), one >> FEATURE_BITS
             np.add.at(raw, f, 1)
             np.add.at(target, f[good[doc]], 1)
@@ -152,10 +153,6 @@ def kth_largest(df: DataFrame, column: str, k: int, few: int = 65_536) -> float:
     return sorted(values, reverse=True)[k - above - 1]
 
 
-def _mapped(df: DataFrame, weigh, fields: str) -> DataFrame:
-    return df.mapInArrow(weigh, f"{fields}, log_weight double")
-
-
 def weighted(docs: DataFrame, labels: DataFrame, good: Column | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, float, float]:
     """All rows of `docs`, columns renamed c0, c1, ..., with `log_weight` and `gumbel_key`; the cut in weight; the key of the k-th drawn."""
     spark = docs.sparkSession
@@ -164,27 +161,33 @@ def weighted(docs: DataFrame, labels: DataFrame, good: Column | None = None, id_
     sample = sample.groupBy("label_id").agg(F.min("good").alias("good")).orderBy(F.xxhash64("label_id"), "label_id").limit(LABELLED_ROWS)
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text, key = inner[f"c{names.index(text_col)}"].cast("string"), inner[f"c{names.index(id_col)}"]
-    base = inner.withColumns({"text": text, "noise": -F.log(-F.log((F.pmod(F.xxhash64(F.lit(17), key, text), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))})
+    column = f"c{names.index(text_col)}"
+    if inner.schema[column].dataType.simpleString() != "string":
+        inner, column = inner.withColumn("text", F.col(column).cast("string")), "text"
+    text, key = F.col(column), F.col(f"c{names.index(id_col)}")
+    base = inner.withColumns({"noise": -F.log(-F.log((F.pmod(F.xxhash64(F.lit(17), key, text), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))})
     marked = base.join(F.broadcast(sample), key == sample["label_id"], "left")
-    ratio = spark.sparkContext.broadcast(log_ratios(*_model(marked.where("good IS NOT NULL"))).astype(np.float32))
+    labelled = marked.where("good IS NOT NULL").select(text.alias("text"), "good")
+    ratio = spark.sparkContext.broadcast(log_ratios(*_model(labelled)).astype(np.float32))
 
-    def weigh(batches):
-        for b in (part for whole in batches for part in words.slices(whole)):
-            f, doc, n_words = features(b["text"])
-            sums = SHARPNESS * np.bincount(doc, weights=ratio.value[f], minlength=b.num_rows) / (1 + n_words / LENGTH)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sums)], [*b.schema.names[:-1], "log_weight"])
+    def weigh(keep: list[str]):
+        def run(batches):
+            for b in (part for whole in batches for part in words.slices(whole, column)):
+                f, doc, n_words = features(b[column])
+                sums = SHARPNESS * np.bincount(doc, weights=ratio.value[f], minlength=b.num_rows) / (1 + n_words / LENGTH)
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(sums)], [*keep, "log_weight"])
+
+        return run
 
-    small = marked.select("good", "noise", "text")
-    table = shared.written(_mapped(small, weigh, "good int, noise double"), "weights")
+    table = shared.written(marked.select("good", "noise", column).mapInArrow(weigh(["good", "noise"]), "good int, noise double, log_weight double"), "weights")
     seen = table.where("good IS NOT NULL").select("log_weight", "good").toPandas()
     cut = best_cut(seen["log_weight"].to_numpy(), seen["good"].to_numpy())
     keys = table.select((F.col("log_weight") + F.col("noise")).alias("key"))
     k = table.where(F.col("log_weight") >= F.lit(float(cut))).count()
     least = kth_largest(keys, "key", k)
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema if f.name != "text")
-    order = [f.name for f in base.schema if f.name != "text"]
-    out = _mapped(base.select(*order, "text"), weigh, fields)
+    kept = [f for f in base.schema if f.name != "text"]
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    out = base.mapInArrow(weigh([f.name for f in kept]), f"{fields}, log_weight double")
     return out.withColumn("gumbel_key", F.col("log_weight") + F.col("noise")).drop("noise"), cut, least
 
 

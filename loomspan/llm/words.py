@@ -143,7 +143,7 @@ def folded(data: np.ndarray) -> np.ndarray:
     return _LOWER_BYTE[data]
 
 
-def slices(batch: pa.RecordBatch, column: str = "text", most: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):
     """Consecutive parts of a batch with about `most` bytes of text each, one row at least."""
     texts = batch.column(batch.schema.get_field_index(column))
     if not batch.num_rows:
