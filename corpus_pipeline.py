@@ -25,12 +25,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the word sequences that occur more than once; those that had nothing else are gone."""
     shared.importable(spark)
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = substring.remove_repeats(docs, carry=rest).where("NOT (n_removed > 0 AND kept = '')")
-    out = out.withColumn("text", F.col("kept"))
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    names = docs.columns
+    inner = docs.toDF(*[f"__{i}" for i in range(len(names))])  # no extra column clashes with what the operator returns
+    own = {c: f"__{i}" for i, c in enumerate(names)}
+    rest = tuple(own[c] for c in names if c not in ("doc_id", "text"))
+    out = substring.remove_repeats(inner, id_col=own["doc_id"], text_col=own["text"], carry=rest).where("NOT (n_removed > 0 AND kept = '')")
+    columns = {c: F.col(k) for c, k in own.items()} | {"text": F.col("kept")}
+    if "n_chars" in names:
+        columns["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*[columns[c].alias(c) for c in names])
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
