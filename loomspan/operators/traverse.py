@@ -51,8 +51,12 @@ _VIA = "struct<source:string,field:string,target:string,kind:string>"
 
 
 def levels(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """Every node that can be reached within `depth`, once, with the rank, path and edge by which a queue meets it first."""
-    seen = starts.select("node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(None).cast(_VIA).alias("via"), F.col("ordinal").cast("long").alias("rank"))
+    """Every node that can be reached within `depth`, once, with the path and edge by which a queue meets it first.
+
+    `rank` orders the nodes of a depth as the queue pops them: the rank of the parent, then the edge, as an array of
+    strings that compares from left to right. So no level has to be numbered.
+    """
+    seen = starts.select("node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(None).cast(_VIA).alias("via"), F.array(F.lpad(F.col("ordinal").cast("string"), 19, "0")).alias("rank"))
     seen = written(seen.groupBy("node").agg(F.min_by(F.struct("depth", "path", "via"), "rank").alias("s"), F.min("rank").alias("rank")).select("node", "s.*", "rank"), "level")
     frontier = seen
     for d in range(1, depth + 1):
@@ -60,23 +64,15 @@ def levels(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
         step = step.join(seen.select(F.col("node").alias("to")), "to", "left_anti")
         place = F.struct("parent", "source", "field", "target", "kind")
         best = step.groupBy(F.col("to").alias("node")).agg(F.min(place).alias("place"), F.min_by("way", place).alias("way"))
-        best = best.select("node", F.lit(d).alias("depth"), F.concat("way", F.array("node")).alias("path"), F.struct("place.source", "place.field", "place.target", "place.kind").alias("via"), "place")
-        frontier = written(_ranked(best, d), "level")
+        via = ["place.source", "place.field", "place.target", "place.kind"]
+        best = best.select("node", F.lit(d).alias("depth"), F.concat("way", F.array("node")).alias("path"), F.struct(*via).alias("via"), F.concat("place.parent", F.array(*via)).alias("rank"))
+        frontier = written(best, "level")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
     return seen
 
 
-def _ranked(best: DataFrame, depth: int) -> DataFrame:
-    """Ranks within a level by `place`: ranges of places are numbered apart and shifted by the ranges before them."""
-    best = written(best.repartitionByRange("place").sortWithinPartitions("place").withColumn("part", F.spark_partition_id()), "places")
-    sizes = best.groupBy("part").agg(F.count("*").alias("n"))
-    shift = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row a task
-    own = F.row_number().over(Window.partitionBy("part").orderBy("place")) - 1
-    return best.withColumn("own", own).join(F.broadcast(shift.select("part", "before")), "part").select("node", "depth", "path", "via", (F.col("own") + F.col("before")).cast("long").alias("rank"))
-
-
 def traverse(starts: DataFrame, edges: DataFrame, nodes: DataFrame, spec: dict | None = None, resolve=None, max_edges: int = 1_000_000) -> Traversal:
     """Walks from `starts` (node, or ordinal and node) over `edges`; `nodes` are the known ids.
 
@@ -108,12 +104,17 @@ def traverse(starts: DataFrame, edges: DataFrame, nodes: DataFrame, spec: dict |
         cut = page.select("depth", "rank").orderBy(F.desc("depth"), F.desc("rank")).limit(1).collect() if page.count() > spec["limit"] else []
         if cut:
             over = True
-            before = F.struct("depth", "rank") < F.struct(F.lit(cut[0]["depth"]).cast("int").alias("depth"), F.lit(cut[0]["rank"]).cast("long").alias("rank"))
+            before = F.struct("depth", "rank") < F.struct(F.lit(cut[0]["depth"]).cast("int").alias("depth"), _rank(cut[0]["rank"]).alias("rank"))
             rows, popped = rows.where(before), seen.where(before)
     deep = not popped.where((F.col("depth") >= spec["maxDepth"]) & F.col("known")).join(ways.select(F.col("from").alias("node")), "node", "left_semi").isEmpty()
     return Traversal(rows, popped.where("NOT known").select("node"), deep, over)
 
 
+def _rank(value):
+    """A rank as a literal: a number, or an array of strings."""
+    return F.array(*[F.lit(x) for x in value]) if isinstance(value, list) else F.lit(value).cast("long")
+
+
 def depth_first(starts: DataFrame, edges: DataFrame, depth: int, max_edges: int) -> DataFrame:
     """The same columns in the order of a stack, which takes the last of a node's sorted edges first."""
     spark = starts.sparkSession
