@@ -14,8 +14,6 @@ spanning forest, never the pairs. So links cost rows in proportion to the texts,
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
