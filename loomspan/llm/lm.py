@@ -1,16 +1,18 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-States of the tree are contexts of one to DEPTH preceding words. A context reaches back to the nearest word that is not
-among the frequent ones (the "head": words with a relative frequency of 2**-15 or more, so at most 2**15 of them, the
-only thing that is broadcast); frequent words alone say too little about what follows to be states. A context is
-retained if its own next-symbol counts, each discounted by DISCOUNT, code its training tokens in fewer nats than the
-root does by THRESHOLD at least (a leave-some-out form of the Kullback-Leibler test: what a context saw only once can't
-speak for it). A symbol is scored in the state of the longest retained suffix, whose absolute-discounted distribution is
-smoothed by the root's, with the discounted mass and ROOT_TOKENS pseudo-tokens; the root adds one to each count, as the unigram base does, so both are proper distributions
-over the vocabulary and one unknown symbol.
-
-What is gathered from the corpus: word counts and context counts, both distributed by key hash; each chunk of texts
-asks for its own distinct words and contexts (see packed.py).
+States of the tree are contexts: every suffix of one to DEPTH preceding words of the same text, however frequent the
+words. Contexts are tried from short to long. One is retained if its own next-symbol counts, each discounted by DISCOUNT,
+code its training tokens in fewer nats than its longest retained proper suffix does by THRESHOLD at least (a leave-some-out
+form of the Kullback-Leibler test: what a context saw only once can't speak for it, so one that occurs once is never
+retained and needn't be asked for). A symbol is scored in the state of the longest retained suffix, whose absolute-discounted
+distribution is smoothed by that of the next shorter retained one, with the discounted mass and ROOT_TOKENS pseudo-tokens;
+the root adds one to each count, as the unigram base does, so all are proper distributions over the vocabulary and one
+unknown symbol.
+
+What is gathered from the corpus: word counts and, in a round for each depth, context counts, all distributed by key hash;
+each chunk of texts asks for its own distinct words and contexts (see packed.py). The pairs of a hot context, one with more
+than one token in 2**HOT_BITS, are dealt by context and symbol and counted there; only the context's sums, at most 2**HOT_BITS
+rows a round, are broadcast. That, and the broadcast counts of frequent words, change where things are counted, not the model.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ ROOT_TOKENS = 2.0
 THRESHOLD = 3.0
 HEAD_BITS = 15
 LEAST_HEAD = 1024
+HOT_BITS = 12
+LEAST_HOT = 1024
 END = U(0x6A09E667F3BCC909)
 
 
@@ -38,10 +42,10 @@ def key_bits(n: int) -> tuple[int, int]:
     """Bits that tell contexts, and a context's successors, apart in a corpus of n tokens.
 
     As many as leave a given context unmixed with any other but for one in 2**20, in whole bytes, and a given successor
-    in the largest context but for one in 2**14: requests stay short, and equally exact at every size.
+    in the largest context that isn't hot but for one in 2**14 (2**12 in the largest corpora): requests stay short, and equally exact at every size.
     """
     context = -(-(max(n, 1).bit_length() + 20) // 8) * 8
-    return min(context, 64), min(max(LEAST_HEAD, n >> HEAD_BITS).bit_length() + 14, 32)
+    return min(context, 64), min(max(LEAST_HOT, n >> HOT_BITS).bit_length() + 14, 32)
 
 
 def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -64,22 +68,14 @@ def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[at] == values
 
 
-def contexts(tok: np.ndarray, off: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions that have a context, and its hash."""
-    n = len(tok)
-    frequent = member(tok, head)
-    place = np.arange(n) - np.repeat(off[:-1], np.diff(off))
-    acc = np.zeros(n, U)
-    found = np.zeros(n, U)
-    open_ = np.ones(n, bool)
-    for j in range(1, DEPTH + 1):
-        here = np.flatnonzero(open_ & (place >= j))
-        acc[here] = words.mix(acc[here] * U(0x9FB21C651E98DF25) + tok[here - j] + U(j))
-        done = here[~frequent[here - j]]
-        found[done] = acc[done]
-        open_[done] = False
-    at = np.flatnonzero(~open_)
-    return at, found[at]
+def contexts(tok: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions with `depth` preceding words, and the hash of these."""
+    place = np.arange(len(tok)) - np.repeat(off[:-1], np.diff(off))
+    at = np.flatnonzero(place >= depth)
+    acc = np.zeros(len(at), U)
+    for j in range(1, depth + 1):
+        acc = words.mix(acc * U(0x9FB21C651E98DF25) + tok[at - j] + U(j))
+    return at, acc
 
 
 def vocabulary(base: DataFrame, buckets: int) -> DataFrame:
@@ -135,41 +131,61 @@ def heads(vocab: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     return k[order], c[order]
 
 
-def _ask(tok, off, train, head, chunk: int, buckets: int, bits: tuple[int, int] = (64, 32)):
-    """Requests of a chunk and what is needed to read the answers: distinct words and (context, symbol) pairs, each with its training count."""
+def _ask(tok, off, train, head, chunk: int, buckets: int, bits: tuple[int, int] = (64, 32), depth: int = 1, live=None, hot=None, prior=None):
+    """Requests of a chunk and what is needed to read the answers: at depth 0 its distinct words, else distinct (context, symbol) pairs.
+
+    Pairs are asked for at `live` positions, each with its training count, its probability `prior` in the state that scores
+    it so far (1 where the pair occurs once at most, as it saves nothing then), and its context if that is hot: such pairs
+    are dealt as if each were a context of its own.
+    """
     rare = ~member(tok, head)
-    uni, _, _, uni_place = packed.distinct(tok[rare])
-    at, ctx = contexts(tok, off, head)
-    ctx = ctx >> U(64 - bits[0]) << U(64 - bits[0])
-    sym = (tok[at] >> U(64 - bits[1])).astype(np.uint32)
+    uni, _, _, uni_place = packed.distinct(tok[rare] if depth == 0 else tok[:0])
+    at, ctx = contexts(tok, off, depth) if depth else (np.empty(0, np.int64), np.empty(0, U))
+    if live is not None:
+        at, ctx = at[live[at]], ctx[live[at]]
+    in_hot = np.zeros(len(at), bool) if hot is None else hot[at]
+    sym = np.where(in_hot, U(0), tok[at] >> U(64 - bits[1])).astype(np.uint32)
+    key = np.where(in_hot, words.mix(ctx * U(0x9FB21C651E98DF25) + tok[at]), ctx) >> U(64 - bits[0]) << U(64 - bits[0])
     in_training = np.repeat(train, np.diff(off))[at]
-    keys, syms, seen, place = packed.distinct(ctx, sym, in_training)
+    keys, syms, seen, place = packed.distinct(key, sym, in_training)
+    whose = np.zeros(len(keys), U)
+    whose[place[in_hot]] = ctx[in_hot]
+    p = np.zeros(0 if prior is None else len(keys), np.float32)
+    if prior is not None:
+        p[place] = prior[at]
     rows = []
     if buckets:
         a, b = packed.bucket_edges(uni, buckets), packed.bucket_edges(keys, buckets)
         for i in range(buckets):
             if a[i + 1] > a[i] or b[i + 1] > b[i]:
                 k = slice(b[i], b[i + 1])
-                rows.append((i, chunk, 0, packed.frame(packed.pack_sorted(uni[a[i] : a[i + 1]]), packed.pack_sorted(keys[k]), packed.pack(syms[k]), packed.pack(np.minimum(seen[k], 2**32 - 1).astype(np.uint32)))))
+                names, index = np.unique(whose[k], return_inverse=True)
+                rows.append((i, chunk, depth, packed.frame(packed.pack_sorted(uni[a[i] : a[i + 1]]), packed.pack_sorted(keys[k]), packed.pack(syms[k]), packed.pack(np.minimum(seen[k], 2**32 - 1).astype(np.uint32)), packed.pack(p[k]), packed.pack(names), packed.pack(index.astype(np.uint32)))))
     return rows, (rare, uni_place, len(uni), at, place, len(keys))
 
 
-def _answer(asked: pa.Table, vocab: pa.Table, head_sym: np.ndarray, head_p: np.ndarray, tail_p: float) -> pa.Table:
-    """One bucket: word counts, and for each (context, symbol) pair the symbol's and the context's counts and its number of successors, for pairs whose context is retained."""
-    rows = asked.select(["bucket", "chunk", "payload"]).to_pylist()
+def _answer(asked: pa.Table, vocab: pa.Table, root_sym: np.ndarray, root_p: np.ndarray, rest_p: float, limit: int = 2**62) -> pa.Table:
+    """One bucket: word counts, and for each (context, symbol) pair the symbol's and the context's counts and its number of successors, for pairs whose context is retained.
+
+    Also whether the pair occurs twice, and more than `limit` times. Of pairs in hot contexts only their own count is told
+    here, and a row of chunk -1 has the contexts' sums. Pairs asked without a probability have that of the given root.
+    """
+    rows = asked.select(["bucket", "chunk", "kind", "payload"]).to_pylist()
     if not rows:
         return packed.request_rows([])
     known, totals = np.empty(0, U), np.empty(0, np.int64)
     if vocab.num_rows:
         k, c = packed.unframe(vocab["payload"][0].as_py())
         known, totals = packed.unpack_sorted(k), packed.unpack(c)
-    unis, ctx, sym, seen = [], [], [], []
+    unis, ctx, sym, seen, prior, hot = [], [], [], [], [], []
     for r in rows:
-        u, k, s, n = packed.unframe(r.pop("payload"))
+        u, k, s, n, q, names, index = packed.unframe(r.pop("payload"))
         unis.append(packed.unpack_sorted(u))
         ctx.append(packed.unpack_sorted(k))
         sym.append(packed.unpack(s))
         seen.append(packed.unpack(n))
+        prior.append(packed.unpack(q))
+        hot.append(packed.unpack(names)[packed.unpack(index)])
     keys, syms, total, place = packed.distinct(np.concatenate(ctx), np.concatenate(sym), np.concatenate(seen))
     own = total > 0  # pairs that only held-out texts have aren't part of the model
     new = np.ones(len(keys), bool)
@@ -178,28 +194,110 @@ def _answer(asked: pa.Table, vocab: pa.Table, head_sym: np.ndarray, head_p: np.n
     group = np.cumsum(new) - 1
     n_ctx = np.add.reduceat(total, at) if len(at) else np.empty(0, np.int64)
     kinds = np.add.reduceat(own.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
-    p = np.full(len(keys), tail_p)
-    if len(head_sym):
-        near = np.minimum(np.searchsorted(head_sym, syms), len(head_sym) - 1)
-        same = head_sym[near] == syms
-        p[same] = head_p[near[same]]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.where(own, (total - 1) * np.log(np.maximum(total - DISCOUNT, 0.25) / (n_ctx[group] + ROOT_TOKENS) / p), 0.0)
-        saved = (np.add.reduceat(gain, at) if len(at) else np.empty(0)) + kinds * np.log((kinds * DISCOUNT + ROOT_TOKENS) / (n_ctx + ROOT_TOKENS))
-    kept = (saved >= THRESHOLD)[group]
-    out_sym, out_ctx, out_kinds = np.where(kept, total, 0)[place], np.where(kept, n_ctx[group], 0)[place], np.where(kept, kinds[group], 0)[place]
+    p, whose = np.full(len(keys), rest_p), np.zeros(len(keys), U)
+    whose[place] = np.concatenate(hot)
+    prior = np.concatenate(prior)
+    if len(prior):
+        p[place] = prior
+    elif len(root_sym):
+        near = np.minimum(np.searchsorted(root_sym, syms), len(root_sym) - 1)
+        same = root_sym[near] == syms
+        p[same] = root_p[near[same]]
+    apart = whose > 0
+    # nats saved but for the context's own count, which each of its total - 1 tokens is divided by
+    gain = np.where(own, (total - 1) * np.log(np.maximum(total - DISCOUNT, 0.25) / p), 0.0)
+    kept = retained(n_ctx, kinds, np.add.reduceat(gain, at) if len(at) else np.empty(0))[group] & ~apart
+    told = kept | (apart & own)
+    out_sym, out_ctx, out_kinds = np.where(told, total, 0)[place], np.where(kept, n_ctx[group], 0)[place], np.where(kept, kinds[group], 0)[place]
+    told, twice, many = told[place], (total > 1)[place], (total > limit)[place]
     out, i = [], 0
     for r, u, k in zip(rows, unis, ctx):
         j = i + len(k)
         near = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
         count = np.where(known[near] == u, totals[near], 0) if len(known) else np.zeros(len(u), np.int64)
-        there = out_ctx[i:j] > 0
+        there = told[i:j]
         facts = [packed.pack(x[i:j][there].astype(np.uint32)) for x in (out_sym, out_ctx, out_kinds)]
-        out.append((r["bucket"], r["chunk"], 0, packed.frame(packed.pack(count.astype(np.uint32)), packed.pack(np.packbits(there)), len(there).to_bytes(8, "little"), *facts)))
+        bits = [packed.pack(np.packbits(x[i:j])) for x in (twice, many)]
+        out.append((r["bucket"], r["chunk"], r["kind"], packed.frame(packed.pack(count.astype(np.uint32)), packed.pack(np.packbits(there)), len(there).to_bytes(8, "little"), *facts, *bits)))
         i = j
+    if (apart & own).any():
+        part = apart & own
+        names, index = np.unique(whose[part], return_inverse=True)
+        sums = [np.bincount(index, x[part], len(names)) for x in (total, own, gain)]
+        out.append((rows[0]["bucket"], -1, rows[0]["kind"], packed.frame(packed.pack(names), *map(packed.pack, sums))))
     return packed.request_rows(out)
 
 
+def retained(n, kinds, gain) -> np.ndarray:
+    """Whether contexts with so many tokens and successors, and nats saved before dividing by the tokens, are states."""
+    return gain - (n - kinds) * np.log(n + ROOT_TOKENS) + kinds * np.log((kinds * DISCOUNT + ROOT_TOKENS) / (n + ROOT_TOKENS)) >= THRESHOLD
+
+
+def hot_states(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, tokens and numbers of successors of a round's retained hot contexts."""
+
+    def sums(batches):
+        for b in batches:
+            for x in b["payload"].to_pylist():
+                names, n, kinds, gain = map(packed.unpack, packed.unframe(x))
+                yield pa.RecordBatch.from_pydict({"k": pa.array(names.view(np.int64)), "n": pa.array(n), "kinds": pa.array(kinds), "gain": pa.array(gain)})
+
+    rows = answers.where("chunk = -1").select("payload").mapInArrow(sums, "k long, n double, kinds double, gain double")
+    got = rows.groupBy("k").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"), F.sum("gain").alias("gain")).toArrow()
+    k, n, kinds, gain = (got[c].to_numpy() for c in ("k", "n", "kinds", "gain"))
+    k, kept = k.view(U), retained(n, kinds, gain)
+    order = np.flatnonzero(kept)[np.argsort(k[kept])]
+    return k[order], n[order], kinds[order]
+
+
+def walk(tok, off, train, found: pa.Table, head, head_n, total: int, limit: int, bits, states):
+    """Training counts and probabilities of a chunk's tokens by the rounds answered so far; for the next, positions to ask for (live), hot ones, and priors."""
+    answers = {}
+    for r in sorted(found.to_pylist(), key=lambda r: r["bucket"]):
+        answers.setdefault(r["kind"], []).append(packed.unframe(r["payload"]))
+    joined = lambda arrays: np.concatenate([np.empty(0), *arrays])  # noqa: E731  without rare words and contexts nothing was asked
+    flags = lambda parts, k: joined(np.unpackbits(packed.unpack(p[k]), count=int.from_bytes(p[2], "little")) for p in parts).astype(bool)
+    inner = np.ones(len(tok), bool)
+    inner[off[:-1]] = False
+
+    def following(flag):
+        """Positions after flagged ones in the same text."""
+        out = np.zeros(len(tok), bool)
+        out[1:] = flag[:-1]
+        return out & inner
+
+    _, (rare, uni_place, n_uni, *_) = _ask(tok, off, train, head, 0, 0, bits, 0)
+    uni = joined(packed.unpack(p[0]) for p in answers.get(0, []))
+    count = np.zeros(len(tok))
+    count[rare] = uni[uni_place] if n_uni else 0
+    if len(head):
+        count[~rare] = head_n[np.searchsorted(head, tok[~rare])]
+    p = (count + 1) / total
+    twice, many = count > 1, count > limit
+    live, hot = following(twice), following(many)
+    for depth, (hot_ctx, hot_n, hot_kinds) in enumerate(states, 1):
+        _, (_, _, _, at, place, _) = _ask(tok, off, train, head, 0, 0, bits, depth, live, hot)
+        parts = answers.get(depth, [])
+        there = flags(parts, 1)
+        own, n, kinds = np.zeros((3, len(there)))
+        for k, x in enumerate((own, n, kinds)):
+            x[there] = joined(packed.unpack(q[3 + k]) for q in parts)
+        own, n, kinds = own[place], n[place], kinds[place]
+        in_hot = np.flatnonzero(hot[at])
+        if len(hot_ctx) and len(in_hot):
+            where, ctx = contexts(tok, off, depth)
+            ctx = ctx[np.searchsorted(where, at[in_hot])]
+            near = np.minimum(np.searchsorted(hot_ctx, ctx), len(hot_ctx) - 1)
+            same = hot_ctx[near] == ctx
+            n[in_hot[same]], kinds[in_hot[same]] = hot_n[near[same]], hot_kinds[near[same]]
+        kept = n > 0
+        p[at[kept]] = (np.maximum(own[kept] - DISCOUNT, 0) + (DISCOUNT * kinds[kept] + ROOT_TOKENS) * p[at[kept]]) / (n[kept] + ROOT_TOKENS)
+        twice, many = np.zeros((2, len(tok)), bool)
+        twice[at], many[at] = flags(parts, 6)[place], flags(parts, 7)[place]
+        live, hot = following(twice), following(many)
+    return count, p, live, hot, np.where(twice, p, 1.0)
+
+
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores every text with a suffix tree learned from the rows where `train` holds (null: they don't).
 
@@ -216,52 +314,51 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     n, v = vocab.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
     head, head_n = heads(vocab, n)
     total = n + v + 1
-    model = spark.sparkContext.broadcast((head, head_n))
-    bits = key_bits(n)
-    tail_p = max((n - int(head_n.sum())) / max(v - len(head), 1), 1.0) / max(n, 1)
+    bits, limit = key_bits(n), max(LEAST_HOT, n >> HOT_BITS)
     base = packed.with_chunk(base, chunks, F.col("id"), F.col("text"))
+    by_chunk = base.groupBy("chunk")
+    answers, states = spark.createDataFrame([], packed.REQUEST), []
 
-    def ask(t: pa.Table) -> pa.Table:
-        tok, off = tokens(t["text"])
-        return packed.request_rows(_ask(tok, off, t["train"].to_numpy(), model.value[0], t["chunk"][0].as_py(), buckets, bits)[0])
+    def rounds_so_far():
+        return spark.sparkContext.broadcast((head, head_n, total, limit, bits, list(states)))
+
+    def asker(model, depth):
+        def ask(t: pa.Table, found: pa.Table) -> pa.Table:
+            if not t.num_rows:
+                return packed.request_rows([])
+            tok, off = tokens(t["text"])
+            train, h = t["train"].to_numpy(), model.value[0]
+            live = hot = p = None
+            if depth:
+                _, _, live, hot, p = walk(tok, off, train, found, *model.value)
+            return packed.request_rows(_ask(tok, off, train, h, t["chunk"][0].as_py(), buckets, bits, depth, live, hot, p)[0])
+
+        return ask
 
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        h, c = model.value
-        sym = (h >> U(64 - bits[1])).astype(np.uint32)
-        order = np.argsort(sym, kind="stable")
-        return _answer(asked, known, sym[order], (c / max(n, 1))[order], tail_p)
+        return _answer(asked, known, np.empty(0, np.uint32), np.empty(0), 1.0, limit)
+
+    for depth in range(DEPTH + 1):
+        model = rounds_so_far()
+        asked = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(asker(model, depth), packed.REQUEST)
+        # only the first round asks for words
+        counts = vocab if depth == 0 else vocab.limit(0)
+        got = shared.written(asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, packed.REQUEST), f"round{depth}")
+        if depth:
+            states.append(hot_states(got))
+        answers = answers.union(got.where("chunk >= 0"))
+    model = rounds_so_far()
 
     def score(t: pa.Table, found: pa.Table) -> pa.Table:
         if not t.num_rows:
             empty = pa.array([], pa.int64())
             return pa.table({"id": t["id"], "held_out": pa.array([], pa.bool_()), "n_tokens": empty, "n_known": empty, "train_tokens": empty, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        h, c = model.value
         tok, off = tokens(t["text"])
         train = t["train"].to_numpy()
-        _, (rare, uni_place, n_uni, at, place, _) = _ask(tok, off, train, h, 0, 0, bits)
-        rows = sorted(((r["bucket"], r["payload"]) for r in found.to_pylist()), key=lambda r: r[0])
-        parts = [packed.unframe(p) for _, p in rows]
-        joined = lambda arrays: np.concatenate([np.empty(0), *arrays])  # noqa: E731  without rare words and contexts nothing was asked
-        uni = joined(packed.unpack(p[0]) for p in parts)
-        there = joined(np.unpackbits(packed.unpack(p[1]), count=int.from_bytes(p[2], "little")) for p in parts).astype(bool)
-        own, ctx, kinds = np.zeros((3, len(there)))
-        for k, x in enumerate((own, ctx, kinds)):
-            x[there] = joined(packed.unpack(p[3 + k]) for p in parts)
-        count = np.zeros(len(tok))
-        count[rare] = uni[uni_place] if n_uni else 0
-        if len(h):
-            count[~rare] = c[np.searchsorted(h, tok[~rare])]
-        p0 = (count + 1) / total
-        p = p0.copy()
-        own, ctx, kinds = own[place], ctx[place], kinds[place]
-        kept = ctx > 0
-        p[at[kept]] = (np.maximum(own[kept] - DISCOUNT, 0) + (DISCOUNT * kinds[kept] + ROOT_TOKENS) * p0[at[kept]]) / (ctx[kept] + ROOT_TOKENS)
-        sums = [np.add.reduceat(x, off[:-1]) for x in (np.log10(p0), np.log10(p))]
+        count, p, *_ = walk(tok, off, train, found, *model.value)
+        sums = [np.add.reduceat(x, off[:-1]) for x in (np.log10((count + 1) / total), np.log10(p))]
         return pa.table({"id": t["id"], "held_out": pa.array(~train), "n_tokens": pa.array(np.diff(off), pa.int64()), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), off[:-1])), "train_tokens": pa.array(np.full(t.num_rows, n, np.int64)), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
 
-    by_chunk = base.groupBy("chunk")
-    asked = by_chunk.applyInArrow(ask, packed.REQUEST)
-    answers = asked.groupBy("bucket").cogroup(vocab.groupBy("bucket")).applyInArrow(answer, packed.REQUEST)
     kind = base.schema["id"].dataType.simpleString()
     out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

@@ -78,3 +78,13 @@ def test_empty_and_untrained_tables(make):
     only = next(i for i in range(100) if held_out(i))
     row = scored(make, [(only, "a b")])[0]
     assert (row["n_tokens"], row["n_known"], row["train_tokens"], row["score"]) == (3, 0, 0, 0.0)
+
+
+def test_a_longer_context_decides(make):
+    """What follows x is told by the word before it."""
+    ids = iter(i for i in range(100000) if not held_out(i))
+    out = iter(i for i in range(100000, 200000) if held_out(i))
+    rows = [(next(ids), t) for t in ["a x p", "b x q"] * 100]
+    probes = [(next(out), "a x p"), (next(out), "a x q")]
+    got = {r["doc_id"]: r["score"] for r in scored(make, rows + probes)}
+    assert got[probes[0][0]] > got[probes[1][0]] + 1
