@@ -88,3 +88,15 @@ def test_a_longer_context_decides(make):
     probes = [(next(out), "a x p"), (next(out), "a x q")]
     got = {r["doc_id"]: r["score"] for r in scored(make, rows + probes)}
     assert got[probes[0][0]] > got[probes[1][0]] + 1
+
+
+def test_frequent_words_and_hot_contexts_score_like_others(make, corpus, monkeypatch):
+    """Where words and contexts are counted depends on the size of the input; the scores don't."""
+    rows = [*corpus, *((1000 + i, "of the and of the only thou of and the of " * 20 + f"end{i % 3}") for i in range(40))]
+    assert max(Counter(w for _, t in rows for w in (t or "").split()).values()) >= lm.LEAST_HEAD
+    plain = sorted((str(r["doc_id"]), r["score"]) for r in scored(make, rows))
+    for name, least in (("LEAST_HEAD", 8), ("LEAST_HOT", 8), ("LEAST_HEAD", 2**40)):
+        monkeypatch.setattr(lm, name, least, raising=False)
+        other = sorted((str(r["doc_id"]), r["score"]) for r in scored(make, rows))
+        assert [i for i, _ in plain] == [i for i, _ in other]
+        assert all(abs(a - b) < 1e-3 for (_, a), (_, b) in zip(plain, other))
