@@ -100,3 +100,44 @@ def test_frequent_words_and_hot_contexts_score_like_others(make, corpus, monkeyp
         other = sorted((str(r["doc_id"]), r["score"]) for r in scored(make, rows))
         assert [i for i, _ in plain] == [i for i, _ in other]
         assert all(abs(a - b) < 1e-3 for (_, a), (_, b) in zip(plain, other))
+
+
+def brute_scores(rows):
+    """Base-10 logarithms of every text's probability by a suffix tree kept in dictionaries, and numbers of retained contexts by length."""
+    own = [(i, [*SPLIT.findall((t or "").translate(FOLD)), None]) for i, t in rows]
+    train = [ws for i, ws in own if not held_out(i)]
+    root = Counter(w for ws in train for w in ws)
+    total = root.total() + len(root) + 1
+    after, kept = {}, [{}, {}, {}, {}]
+    for ws in train:
+        for d in range(1, lm.DEPTH + 1):
+            for t in range(d, len(ws)):
+                after.setdefault(tuple(ws[t - d : t]), Counter())[ws[t]] += 1
+
+    def prob(ctx, w):
+        p = (root[w] + 1) / total
+        for d in range(1, len(ctx) + 1):
+            if c := kept[d].get(ctx[-d:]):
+                n = c.total()
+                p = (max(c[w] - lm.DISCOUNT, 0) + (lm.DISCOUNT * len(c) + lm.ROOT_TOKENS) * p) / (n + lm.ROOT_TOKENS)
+        return p
+
+    for d in range(1, lm.DEPTH + 1):
+        for ctx, c in after.items():
+            if len(ctx) == d:
+                n, k = c.total(), len(c)
+                saved = sum((m - 1) * math.log((m - lm.DISCOUNT) / (n + lm.ROOT_TOKENS) / prob(ctx[1:], w)) for w, m in c.items())
+                if saved + k * math.log((k * lm.DISCOUNT + lm.ROOT_TOKENS) / (n + lm.ROOT_TOKENS)) >= lm.THRESHOLD:
+                    kept[d][ctx] = c
+    scores = [(i, round(sum(math.log10(prob(tuple(ws[max(t - lm.DEPTH, 0) : t]), w)) for t, w in enumerate(ws)), 5)) for i, ws in own]
+    return scores, [len(k) for k in kept[1:]], root
+
+
+def test_scores_against_a_brute_force_tree(make, corpus):
+    """Head words alone are states, and contexts of two and three words are retained."""
+    rows = [*corpus, *((1000 + i, "of the and of the only thou of and the of " * 20 + f"end{i % 3}") for i in range(40))]
+    want, kept, root = brute_scores(rows)
+    assert all(kept) and max(root.values()) >= lm.LEAST_HEAD
+    got = [(r["doc_id"], round(r["score"], 5)) for r in scored(make, rows)]
+    for (i, a), (j, b) in zip(sorted(want, key=str), sorted(got, key=str), strict=True):
+        assert i == j and abs(a - b) < 1e-3
