@@ -4,6 +4,11 @@ A page is cut into blocks at block-level tags, in page order. A block is describ
 density, those of the blocks before and after it, whether it stands in a container of boilerplate (by tag, role, class or
 id) and where it stands to the page's article, if the page marks one. A binary decision tree, grown by Gini impurity on
 the small labelled table below, whose lines each label all combinations of some shapes, tells text from boilerplate. Pages that mark nothing are told by words and links alone.
+
+Marks are a hint: long blocks with few links are text outside the marked article too, and in containers that are named by
+their place on the page only (sidebar, header); lists of links are boilerplate inside it too. A mark around less long
+text than stands outside of it, as a teaser's, counts as none. What a tag, a role, or a name of other texts (comments,
+related) marks as boilerplate is believed: words and links can't tell a long comment from an article.
 """
 
 from __future__ import annotations
@@ -36,17 +41,33 @@ _BOILERPLATE_NAMES = frozenset(
     "header breadcrumb breadcrumbs crumbs cookie cookies consent gdpr notice notices notification alert popup modal overlay dialog newsletter subscribe subscription signup login signin register "
     "share sharing social related recommended recommendations comment comments commentlist respond replies disqus discussion widget widgets toolbar pagination pager paging copyright skip search form".split()
 )
+#: Of these, the names of places on the page, which layouts also use for what stands beside them.
+_LAYOUT_NAMES = frozenset("banner sidebar aside rail nav navbar navigation menu submenu topbar footer foot masthead header toolbar widget widgets".split())
+#: Parts of names that say how a container is laid out, not what it is.
+_HAVING = frozenset("has have with without no hide show".split())
+_SIDES = frozenset("left right both one two double single top bottom".split())
 _ARTICLE_NAMES = frozenset("article content post entry story main".split())
 
 _ANY = ((0, 0.0), (2, 1.0), (6, 0.0), (30, 0.1), (90, 0.0))
 _SMALL = ((0, 0.0), (2, 1.0), (4, 0.0), (30, 0.9))
 _TEXT = ((20, 0.0), (30, 0.1), (90, 0.0))
+_LINKS = ((2, 1.0), (30, 0.9))
+_WORDS = ((0, 0.0), (4, 0.0))
 #: Labelled by hand, a line for all combinations: words, link density; (words, link density) of the block before; of the
-#: block after; in boilerplate; place to the article (0: none marked, 1: inside, -1: outside); text?
+#: block after; in boilerplate (1: by a name of its place on the page, 2: by anything else); place to the article (0: none
+#: marked, 1: inside, -1: outside); text?
 LABELLED = (
-    ((1, 3, 12, 60, 300), (0.0, 0.3, 0.8, 1.0), _ANY, _ANY, (0,), (1,), 1),
-    ((1, 6, 40, 120), (0.0, 0.4, 1.0), _ANY, _ANY, (1,), (-1, 0, 1), 0),
-    ((1, 6, 40, 120), (0.0, 0.4, 1.0), _ANY, _ANY, (0,), (-1,), 0),
+    ((1, 3, 12, 60, 300), (0.0, 0.3), _ANY, _ANY, (0,), (1,), 1),
+    ((1, 3, 12, 60), (0.8, 1.0), _TEXT + _WORDS, _TEXT + _WORDS, (0,), (1,), 1),
+    ((1, 3, 12, 60), (0.8, 1.0), _LINKS, _TEXT + _SMALL, (0,), (1,), 0),
+    ((1, 3, 12, 60), (0.8, 1.0), _TEXT + _SMALL, _LINKS, (0,), (1,), 0),
+    ((1, 6, 40, 120, 300), (0.0, 0.1, 0.4, 1.0), _ANY, _ANY, (2,), (-1, 0, 1), 0),
+    ((1, 6, 16), (0.0, 0.1, 0.4, 1.0), _ANY, _ANY, (1,), (-1, 0, 1), 0),
+    ((40, 120, 300), (0.4, 1.0), _ANY, _ANY, (1,), (-1, 0, 1), 0),
+    ((40, 120, 300), (0.0, 0.1), _ANY, _ANY, (1,), (-1, 0, 1), 1),
+    ((1, 6, 16), (0.0, 0.1, 0.4, 1.0), _ANY, _ANY, (0,), (-1,), 0),
+    ((40, 120, 300), (0.4, 1.0), _ANY, _ANY, (0,), (-1,), 0),
+    ((40, 120, 300), (0.0, 0.1), _ANY, _ANY, (0,), (-1,), 1),
     ((12, 16, 25, 40, 100, 300), (0.0, 0.1, 0.25), _ANY, _ANY, (0,), (0,), 1),
     ((1, 3, 8), (0.0, 0.1, 0.25), _TEXT, _ANY, (0,), (0,), 1),
     ((1, 3, 8), (0.0, 0.1, 0.25), _SMALL, _TEXT, (0,), (0,), 1),
@@ -84,7 +105,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1):
 @lru_cache(maxsize=1)
 def tree():
     rows = table()
-    return grow(rows[:, :-1], rows[:, -1], depth=9)
+    return grow(rows[:, :-1], rows[:, -1], depth=16)
 
 
 def classify(features: tuple, node=None) -> bool:
@@ -94,9 +115,30 @@ def classify(features: tuple, node=None) -> bool:
     return bool(node)
 
 
-def _place(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is a container of boilerplate, and of the article."""
-    bad = tag in _BOILERPLATE_TAGS or (tag == "header" and not in_article)
+def _named(value: str) -> int:
+    """What a class or id says: 0 nothing of boilerplate, 1 only a place on the page, 2 boilerplate."""
+    level, sides, article = 0, False, False
+    for name in value.split():
+        parts = set(re.split(r"[^a-z0-9]+", name))
+        article |= not _ARTICLE_NAMES.isdisjoint(parts)
+        found = _BOILERPLATE_NAMES & parts
+        if not found:
+            continue
+        if found <= _LAYOUT_NAMES:
+            if not _HAVING.isdisjoint(parts):
+                continue
+            if not _SIDES.isdisjoint(parts):
+                sides = True  # of a container of the article it says where the other column is
+                continue
+            level = max(level, 1)
+        else:
+            level = 2
+    return max(level, int(sides and not article))
+
+
+def _place(tag: str, attrs: str, in_article: bool) -> tuple[int, bool]:
+    """Whether an element is a container of boilerplate (1: by a name of its place on the page, 2: by anything else), and of the article."""
+    bad = 2 if tag in _BOILERPLATE_TAGS or (tag == "header" and not in_article) else 0
     good = tag in _ARTICLE_TAGS
     if attrs:
         for name, a, b, c in _ATTR.findall(attrs):
@@ -104,22 +146,23 @@ def _place(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool]:
             if name in ("class", "id"):
                 parts = set(re.split(r"[^a-z0-9]+", value))
                 if tag not in ("body", "html"):
-                    bad |= not _BOILERPLATE_NAMES.isdisjoint(parts) and not (tag in _ARTICLE_TAGS and not parts & {"comment", "comments", "ad", "advert", "related", "sponsored", "promo"})
+                    if not (tag in _ARTICLE_TAGS and not parts & {"comment", "comments", "ad", "advert", "related", "sponsored", "promo"}):
+                        bad = max(bad, _named(value))
                     good |= tag in ("div", "section") and not _ARTICLE_NAMES.isdisjoint(parts)
             elif name == "role":
-                bad |= value in _BOILERPLATE_ROLES
+                bad = 2 if value in _BOILERPLATE_ROLES else bad
                 good |= value in ("main", "article")
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-                bad = True
+                bad = 2
     return bad, good and not bad
 
 
-def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
+def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
     """(text, words, words in links, in boilerplate, in the article) of each block that isn't empty."""
     found, parts = [], []
     n_words = n_links = 0
-    stack: list[tuple[str, bool, bool]] = []  # block elements: tag, in boilerplate, in the article
-    bad = good = link = False
+    stack: list[tuple[str, int, bool]] = []  # block elements: tag, in boilerplate, in the article
+    bad, good, link = 0, False, False
 
     def flush() -> None:
         nonlocal n_words, n_links
@@ -141,7 +184,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
     def close(to: int) -> None:
         nonlocal bad, good
         del stack[to:]
-        bad, good = (stack[-1][1], stack[-1][2]) if stack else (False, False)
+        bad, good = (stack[-1][1], stack[-1][2]) if stack else (0, False)
 
     at = 0
     for m in _TOKEN.finditer(page):
@@ -176,7 +219,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool]]:
             elif tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
                 close(len(stack) - 1)
             b, g = _place(tag, m["attrs"], good)
-            bad, good = bad or b, (good or g) and not b
+            bad, good = max(bad, b), (good or g) and not b
             stack.append((tag, bad, good))
     add(page[at:])
     flush()
@@ -188,6 +231,12 @@ def main_text(page: str | None) -> str:
     own = blocks(page or "")
     marked = any(b[4] and not b[3] for b in own)
     shape = [(b[1], b[2] / b[1] if b[1] else 0.0) for b in own]
+    # a mark around less long text than stands outside of it, as a teaser's, isn't the article's
+    long_ = [0, 0]
+    for b, (n, links) in zip(own, shape):
+        if b[3] < 2 and n >= 25 and links <= 0.25:
+            long_[b[4] and not b[3]] += n
+    marked = marked and long_[1] >= long_[0]
     none = (0, 0.0)
     kept = []
     for i, b in enumerate(own):

@@ -56,3 +56,26 @@ def test_query(spark, make):
     got = sorted((tuple(r) for r in htmltext.extract_text(df).collect()), key=str)
     assert got == [(1, "u", "ä", 1), (1, "u", "ä", 1), (None, None, "", 0)]
     assert htmltext.extract_text(df.limit(0)).collect() == []
+
+
+LONG, MORE = ("long " * 60).strip(), ("more " * 45).strip()
+
+
+@pytest.mark.parametrize(
+    ("source", "text"),
+    [
+        # a teaser's mark doesn't hide the text of the page
+        (f"<article><p>Read this too</p></article><div><h1>Head</h1><p>{LONG}</p><p>{MORE}</p></div>", f"Head\n\n{LONG}\n\n{MORE}"),
+        # long text outside the marked article, and a short line there
+        (f"<article><p>{LONG}</p><p>end</p></article><div><p>{MORE}</p><p>short</p></div>", f"{LONG}\n\nend\n\n{MORE}"),
+        # names of the layout
+        (f"<div class='content right-sidebar'><p>{LONG}</p><p>end</p></div>", f"{LONG}\n\nend"), (f"<div class='page has-sidebar'><p>{LONG}</p><p>end</p></div>", f"{LONG}\n\nend"),
+        (f"<div class='sidebar'><p>{LONG}</p><p>short</p></div>", LONG), ("<article><p>in</p></article><div class='right-sidebar'><p>out of it</p></div>", "in"),
+        # links decide inside the article too
+        (f"<article><p>{LONG}</p><ul><li><a>One</a><li><a>Two more</a><li><a>Three</a></ul><p>{MORE}</p></article>", f"{LONG}\n\n{MORE}"),
+        # other texts than the article's
+        (f"<article><p>{LONG}</p></article><div class='comments'><p>{MORE}</p></div>", LONG),
+    ],
+)
+def test_marks_are_a_hint(source, text):
+    assert htmltext.main_text(source) == text
