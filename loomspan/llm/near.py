@@ -1,10 +1,10 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification, and the groups its links form.
 
 Texts with equal shingle sets form a class; only one row of a class goes on. Its MinHash signature is split into TREES
-tries. Sorting a trie puts signatures with a common prefix side by side, so the rows under a trie node are those that
-agree on a prefix; here a trie is dealt out by prefix value instead of being kept in memory. The prefix is shortened
-from the longest until the probability that two sets at the threshold share a node in any trie, 1-(1-s**d)**TREES,
-reaches the target recall.
+tries, of which only the nodes at one depth are used: each row is dealt out by a hash of its prefix of d minima, which is
+banding. d depends on the threshold alone; it is the longest for which the probability that two sets at the threshold share
+a node in any trie, 1-(1-s**d)**TREES, reaches the target recall. Tries aren't sorted, nor prefixes shortened by what was
+matched: a join by a threshold needs all pairs that agree on d minima, and pairs that agree on more are among them.
 
 Rows under one node are linked to the node's least row, not to each other, and the components of these links are the
 candidate groups. Within a candidate group all pairs are verified exactly, on whole shingle sets. A large group is cut
