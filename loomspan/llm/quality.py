@@ -1,8 +1,8 @@
 """Quality selection by importance resampling over hashed n-grams.
 
-Two generative models over hashed features, the raw model from a bounded sample of labelled rows, the target model from
-the good ones among them. Features are words, words without the marks around them, and unigrams and bigrams of word
-shapes (kinds of characters, length, repetition of the word before), which hold for words never seen. Probabilities are of a document holding the
+Two generative models over hashed features, the raw model from all documents, the target model from the good ones of a
+bounded sample of labelled rows. Features are words, words without the marks around them, and bigrams of words, and
+unigrams and bigrams of word shapes (kinds of characters, length, repetition of the word before), which hold for words never seen. Probabilities are of a document holding the
 feature, so that a burst in one document counts once. A feature's log ratio counts by what it exceeds DEAD_ZONE, and
 only if the target's count is Z standard errors off: rare words and topics then weigh nothing. A document's log importance weight is the sum over its features'
 occurrences, tempered: SHARPNESS times, and less for longer texts, whose n-grams depend on each other the more, by
@@ -29,9 +29,9 @@ DEAD_ZONE = 0.5
 Z = 2.0
 SHARPNESS = 4.0
 LENGTH = 1000
-#: At most so many labelled rows are used, those with the least hashes of their ids.
+#: At most so many labelled rows are used for the target model and the cut, those with the least hashes of their ids.
 LABELLED_ROWS = 65_536
-_SLICES = 16
+_SLICES = 64
 
 
 #: Kinds of bytes: other, small letter or part of a longer character, capital, digit, then each mark by itself.
@@ -44,7 +44,7 @@ for _i, _c in enumerate(b".,!?#$%&*|:;-_/@\"'()<>"):
 
 
 def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature numbers of all words, bare words, shapes and pairs of shapes, each one's text, and the texts' numbers of words."""
+    """Feature numbers of all words, bare words, shapes, pairs of shapes and pairs of words, each one's text, and the texts' numbers of words."""
     w = words.scan(texts, lower=True)
     n, doc = len(w.hash), w.doc
     kind = _KIND[w.data]
@@ -59,9 +59,10 @@ def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pair = np.flatnonzero(~first[1:])
     two = words.mix(shape[pair] * U(0xA24BAED4963EE407) + shape[pair + 1])
     core = words.mix(words.spans(words.folded(w.data), *_inner(w, kind)) + U(99))
-    hashes = np.concatenate([w.hash, core, shape, two])
+    bigram = words.mix(w.hash[pair] * U(0xD6E8FEB86659FD93) + w.hash[pair + 1] + U(7))
+    hashes = np.concatenate([w.hash, core, shape, two, bigram])
     doc = doc.astype(np.int32)
-    return (hashes >> U(64 - FEATURE_BITS)).astype(np.int32), np.concatenate([doc, doc, doc, doc[pair]]), w.counts
+    return (hashes >> U(64 - FEATURE_BITS)).astype(np.int32), np.concatenate([doc, doc, doc, doc[pair], doc[pair]]), w.counts
 
 
 def _inner(w: words.Words, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +76,7 @@ def _inner(w: words.Words, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _model(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int, int]:
-    """For each feature the numbers of raw and of good texts that have it; the numbers of raw and of good texts."""
+    """For each feature the numbers of all texts and of good ones that have it; the numbers of all texts and of good ones."""
     size = 1 << FEATURE_BITS
 
     def count(batches):
@@ -167,8 +168,7 @@ def weighted(docs: DataFrame, labels: DataFrame, good: Column | None = None, id_
     text, key = F.col(column), F.col(f"c{names.index(id_col)}")
     base = inner.withColumns({"noise": -F.log(-F.log((F.pmod(F.xxhash64(F.lit(17), key, text), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))))})
     marked = base.join(F.broadcast(sample), key == sample["label_id"], "left")
-    labelled = marked.where("good IS NOT NULL").select(text.alias("text"), "good")
-    ratio = spark.sparkContext.broadcast(log_ratios(*_model(labelled)).astype(np.float32))
+    ratio = spark.sparkContext.broadcast(log_ratios(*_model(marked.select(text.alias("text"), "good"))).astype(np.float32))
 
     def weigh(keep: list[str]):
         def run(batches):

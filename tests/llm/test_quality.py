@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,3 +68,14 @@ def test_gumbel_top_k_draws_by_weight(spark):
     top = df.withColumn("key", F.col("w") + noise).orderBy(F.desc("key")).limit(500)
     share = top.where("id % 2 = 0").count() / 500
     assert 0.69 < share < 0.81
+
+
+def test_raw_model_counts_unlabelled_documents(make, spark):
+    """A language that no label speaks of, and pairs of words, are in the raw model, and the language weighs against a text."""
+    rows = [(i, "plain words of a good text") for i in range(300)] + [(i, "fremde Rede voller Laute hier") for i in range(300, 900)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)], "doc_id long, quality int, toxic int")
+    out, _, _ = quality.weighted(make(rows).select("doc_id", "text"), labels)
+    weight = {r["c0"]: r["log_weight"] for r in out.collect()}
+    assert weight[250] > 0 > weight[500]
+    once, again = (quality.features(pa.array([x]))[0] for x in ("alpha beta gamma", "beta alpha gamma"))
+    assert set(once) != set(again)
