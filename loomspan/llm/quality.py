@@ -58,7 +58,7 @@ def features(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shape = words.mix(shape + U(12345))
     pair = np.flatnonzero(~first[1:])
     two = words.mix(shape[pair] * U(0xA24BAED4963EE407) + shape[pair + 1])
-    core = words.mix(words.spans(words.folded(w.data), *_inner(w, kind)) + U(99))
+    core = words.hashes(w.read, *_inner(w, kind), seed=99)
     bigram = words.mix(w.hash[pair] * U(0xD6E8FEB86659FD93) + w.hash[pair + 1] + U(7))
     hashes = np.concatenate([w.hash, core, shape, two, bigram])
     doc = doc.astype(np.int32)

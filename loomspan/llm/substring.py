@@ -5,7 +5,7 @@ classes by a hash of their names and names each adjacent (first class, second cl
 what it stands for, so it is the same in every text and no name table has to be gathered. Each symbol carries the range
 of words that its making depended on; a window that holds the whole range holds the same symbol wherever it occurs.
 So a window that holds a symbol seen only once in the corpus can't be repeated. The windows that are left, those whose
-symbols are all shared, are verified: two independent hashes of the window's words (96 bits) must meet again.
+symbols are all shared, are verified: two hashes of the window, from independent values of its words, must meet again, 128 bits.
 
 Three passes over the texts, which are shuffled once and read from that shuffle; what is exchanged in between is a
 few bytes for each symbol or surviving window (see packed.py).
@@ -90,8 +90,7 @@ def _left(w: words.Words, width: int, shared: np.ndarray, lo: np.ndarray, hi: np
     np.add.at(mark, lo[lone] + 1, -1)
     open_ = np.cumsum(mark)[at] == 0
     at = at[open_]
-    values = words.mix(w.hash + U(0x5851F42D4C957F2D))
-    second = (words.mix(words.spans(values, at, at + width)) >> U(32)).astype(np.uint32)
+    second = words.mix(words.spans(w.again(1), at, at + width))
     return at, first[open_], second
 
 

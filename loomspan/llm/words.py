@@ -1,7 +1,8 @@
 """Vectorised word scanning over Arrow string buffers: no Python object per word.
 
-A word's 64-bit value is a polynomial hash of its bytes, taken from prefix sums modulo 2**64 and finished by an
-avalanche step, so that a whole batch costs a few passes of numpy over its bytes.
+A word's 64-bit value chains its blocks of eight bytes through avalanche steps, one block of all words at a time; what
+is longer than LONG bytes is hashed by xxh3. Each step is one-to-one, so words of equal length up to eight bytes never
+share a value; others do by chance alone, one pair in 2**64. A second value with another seed is independent of it.
 """
 
 from __future__ import annotations
@@ -9,16 +10,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_rng = np.random.Generator(np.random.PCG64(20240501))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_LOWER_BYTE = _BYTE.copy()
-_LOWER_BYTE[65:91] = _BYTE[97:123]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes from which a span is hashed by itself.
+LONG = 128
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 _pow = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -57,13 +60,34 @@ def spans(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit value of each span data[start:end] of bytes."""
+    size = end - start
+    out = mix(size.astype(U) * U(BASE) + U(seed))
+    block = np.ndarray((len(data) + 1,), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    live = np.flatnonzero((size > 0) & (size <= LONG))
+    at = start[live]
+    left = size[live]
+    while len(live):
+        out[live] = mix((out[live] ^ (block[at] & _KEEP[np.minimum(left, 8)])) + U(BASE))
+        more = left > 8
+        live, at, left = live[more], at[more] + 8, left[more] - 8
+    for i in np.flatnonzero(size > LONG):
+        out[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes(), seed=seed)
+    return out
+
+
 class Words:
-    """The words of a batch of texts: hash, start and end byte of each, and each text's range of words."""
+    """The words of a batch of texts: hash, start and end byte of each, each text's range of words, and the bytes as they were hashed."""
+
+    __slots__ = ("data", "end", "hash", "off", "read", "start")
 
-    __slots__ = ("data", "end", "hash", "off", "start")
+    def __init__(self, data, start, end, hash_, off, read):
+        self.data, self.start, self.end, self.hash, self.off, self.read = data, start, end, hash_, off, read
 
-    def __init__(self, data, start, end, hashes, off):
-        self.data, self.start, self.end, self.hash, self.off = data, start, end, hashes, off
+    def again(self, seed: int) -> np.ndarray:
+        """Values of the words that are independent of `hash`."""
+        return hashes(self.read, self.start, self.end, seed)
 
     @property
     def counts(self) -> np.ndarray:
@@ -93,12 +117,12 @@ def buffers(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def scan(texts, lower: bool = False) -> Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text; with `lower`, A-Z hash as a-z."""
+    """Words `[^\\x20\\x09-\\x0D]+` of each text; with `lower`, A-Z are a-z."""
     data, off = buffers(texts)
     n = len(data)
     if not n:
         empty = np.empty(0, np.int64)
-        return Words(data, empty, empty, np.empty(0, U), np.zeros(len(off), np.int64))
+        return Words(data, empty, empty, np.empty(0, U), np.zeros(len(off), np.int64), data)
     inside = ~_SPACE[data]
     edge = np.zeros(n + 1, bool)
     edge[off] = True
@@ -108,23 +132,11 @@ def scan(texts, lower: bool = False) -> Words:
     last[:-1] &= ~inside[1:] | edge[1:n]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     del first, last, inside
-    table = _LOWER_BYTE if lower else _BYTE
-    out = np.empty(len(start), U)
-    i = 0
-    while i < len(start):  # slices of about _SEGMENT bytes, cut between words
-        base = int(start[i])
-        j = max(i + 1, int(np.searchsorted(start, base + _SEGMENT)))
-        size = int(end[j - 1]) - base
-        up, down = powers(size + 1)
-        total = np.zeros(size + 1, U)
-        np.cumsum(table[data[base : base + size]] * up[:size], out=total[1:], dtype=U)
-        s, e = start[i:j] - base, end[i:j] - base
-        out[i:j] = (total[e] - total[s]) * down[s]
-        i = j
-    return Words(data, start, end, mix(out), np.searchsorted(start, off))
+    read = _LOWER[data] if lower else data
+    return Words(data, start, end, hashes(read, start, end), np.searchsorted(start, off), read)
 
 
-def windows(w: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Start positions (in words) of all k-word windows that lie in one text, and their hashes."""
     n = len(w.hash)
     if n < k:
@@ -134,13 +146,7 @@ def windows(w: Words, k: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
         ends = w.off[1:] - i
         ok[ends[(ends >= w.off[:-1]) & (ends >= 0)]] = False
     at = np.flatnonzero(ok)
-    values = mix(w.hash + U(seed)) if seed else w.hash
-    return at, mix(spans(values, at, at + k))
-
-
-def folded(data: np.ndarray) -> np.ndarray:
-    """The value of each byte in a hash, A-Z as a-z."""
-    return _LOWER_BYTE[data]
+    return at, mix(spans(w.hash, at, at + k))
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = 2 << 20):

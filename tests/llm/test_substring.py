@@ -48,3 +48,15 @@ def test_symbols_depend_on_no_more_than_their_range():
             inside = (lo >= len(left)) & (hi <= len(left) + 40)
             made.append({(int(a), int(b) - len(left), int(c) - len(left)) for a, b, c in zip(name[inside], lo[inside], hi[inside])})
         assert made[0] == made[1]
+
+
+def test_long_words_that_a_polynomial_hash_confuses(make):
+    """Two texts equal but for one word of 1024 letters share only the windows that miss it."""
+    one = "a"
+    while len(one) < 1024:
+        one += one.translate(str.maketrans("ab", "ba"))
+    ends = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*ends[:20], word, *ends[20:]])) for i, word in enumerate((one, one.translate(str.maketrans("ab", "ba"))))]
+    for width in (35, 8):
+        got = sorted(tuple(r) for r in substring.remove_repeats(make(rows), width).collect())
+        assert got == brute(rows, width)

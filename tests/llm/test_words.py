@@ -45,3 +45,20 @@ def test_packing(values):
     assert (packed.unpack_sorted(packed.pack_sorted(a)) == a).all() and (packed.unpack(packed.pack(a)) == a).all()
     edges = packed.bucket_edges(a, 7)
     assert edges[0] == 0 and edges[-1] == len(a) and all(int(x) * 7 >> 64 == b for b in range(7) for x in a[edges[b] : edges[b + 1]])
+
+
+def test_words_that_a_polynomial_hash_confuses():
+    """A Thue-Morse word and its complement agree in every polynomial hash modulo 2**64."""
+    one = "a"
+    while len(one) < 4096:
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    for n in (8, 64, 1024, 4096):
+        w = words.scan(pa.array([f"{one[:n]} {other[:n]} {one[:n]}"]))
+        assert w.hash[0] == w.hash[2] != w.hash[1] and (w.again(1) != w.hash).all()
+
+
+def test_words_with_zero_bytes_and_of_all_lengths():
+    own = ["x" * n + tail for n in range(300) for tail in ("", "\0", "\0\0", "y")]
+    w = words.scan(pa.array([" ".join(x for x in own if x)]))
+    assert len(set(w.hash.tolist())) == len(own) - 1 == len(w.hash)
