@@ -4,21 +4,27 @@ States of the tree are contexts: every suffix of one to DEPTH preceding words of
 words. Contexts are tried from short to long. One is retained if its own next-symbol counts, each discounted by DISCOUNT,
 code its training tokens in fewer nats than its longest retained proper suffix does by THRESHOLD at least (a leave-some-out
 form of the Kullback-Leibler test: what a context saw only once can't speak for it, so one that occurs once is never
-retained and needn't be asked for). A symbol is scored in the state of the longest retained suffix, whose absolute-discounted
-distribution is smoothed by that of the next shorter retained one, with the discounted mass and ROOT_TOKENS pseudo-tokens;
-the root adds one to each count, as the unigram base does, so all are proper distributions over the vocabulary and one
-unknown symbol.
-
-What is gathered from the corpus: word counts and, in a round for each depth, context counts, all distributed by key hash;
-each chunk of texts asks for its own distinct words and contexts (see packed.py). The pairs of a hot context, one with more
-than one token in 2**HOT_BITS, are dealt by context and symbol and counted there; only the context's sums, at most 2**HOT_BITS
-rows a round, are broadcast. That, and the broadcast counts of frequent words, change where things are counted, not the model.
+retained). A symbol is scored in the state of the longest retained suffix, whose absolute-discounted distribution is
+smoothed by that of the next shorter retained one, with the discounted mass and ROOT_TOKENS pseudo-tokens; the root adds one
+to each count, as the unigram base does, so all are proper distributions over the vocabulary and one unknown symbol.
+
+Texts are read once. Slices of bounded size become chunks: their distinct words and each token's place among these. Ranges of
+word hashes count and number the words. Then every position's context and symbol, as word numbers, go to the bucket of the
+nearest word before it, which holds the whole subtree under that word: it counts, tests and scores all depths, and answers
+with the probabilities that differ from the root's. Equal positions of a chunk are asked for once.
+
+A hot word, one with more than one token in 2**HOT_BITS and LEAST_HOT, would overload its bucket. Its pairs with a symbol are
+dealt by word and symbol and counted there; only the word's sums, at most 2**HOT_BITS rows, are broadcast. Its positions
+then go, with their probability so far, to the bucket of the nearest two words; where these are hot together, the same is done
+with two and with three words. So no bucket gets a group larger than that bound, and the bound changes where contexts are
+counted, not the model.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,25 +33,20 @@ from . import packed, shared, words
 U = np.uint64
 DEPTH = 3
 DISCOUNT = 0.75
-#: Weight of the root in every state, as a number of tokens.
+#: Weight of the next shorter state in every state, as a number of tokens.
 ROOT_TOKENS = 2.0
-#: Nats that a context's own counts must save over the root's.
+#: Nats that a context's own counts must save over those of its longest retained proper suffix.
 THRESHOLD = 3.0
-HEAD_BITS = 15
-LEAST_HEAD = 1024
-HOT_BITS = 12
-LEAST_HOT = 1024
+HOT_BITS = 20
+LEAST_HOT = 1 << 18
+#: Bytes of text in a chunk (a longer text is one of its own), and in a range of the vocabulary; positions in a bucket.
+CHUNK_BYTES = 4 << 20
+RANGE_BYTES = 64 << 20
+BUCKET_TOKENS = 1 << 21
 END = U(0x6A09E667F3BCC909)
+MAIN = DEPTH + 1
 
-
-def key_bits(n: int) -> tuple[int, int]:
-    """Bits that tell contexts, and a context's successors, apart in a corpus of n tokens.
-
-    As many as leave a given context unmixed with any other but for one in 2**20, in whole bytes, and a given successor
-    in the largest context that isn't hot but for one in 2**14 (2**12 in the largest corpora): requests stay short, and equally exact at every size.
-    """
-    context = -(-(max(n, 1).bit_length() + 20) // 8) * 8
-    return min(context, 64), min(max(LEAST_HOT, n >> HOT_BITS).bit_length() + 14, 32)
+ASKED = "bucket int, chunk long, round int, payload binary"
 
 
 def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -60,172 +61,72 @@ def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     return tok, off
 
 
-def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """Whether each value is among the given sorted ones."""
-    if not len(among):
-        return np.zeros(len(values), bool)
-    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
-    return among[at] == values
-
-
-def contexts(tok: np.ndarray, off: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions with `depth` preceding words, and the hash of these."""
-    place = np.arange(len(tok)) - np.repeat(off[:-1], np.diff(off))
-    at = np.flatnonzero(place >= depth)
-    acc = np.zeros(len(at), U)
-    for j in range(1, depth + 1):
-        acc = words.mix(acc * U(0x9FB21C651E98DF25) + tok[at - j] + U(j))
-    return at, acc
-
-
-def vocabulary(base: DataFrame, buckets: int) -> DataFrame:
-    """Counts of all training tokens: one row for each range of hashes (bucket, n_tokens, n_types, keys, counts)."""
-
-    def count(batches):
-        keys, totals, size = [], [], 0
-
-        def flush():
-            k, _, t, _ = packed.distinct(np.concatenate(keys), None, np.concatenate(totals))
-            edges = packed.bucket_edges(k, buckets)
-            rows = [(b, 0, 0, packed.frame(packed.pack_sorted(k[i:j]), packed.pack(t[i:j].astype(np.uint32)))) for b, (i, j) in enumerate(zip(edges[:-1], edges[1:])) if j > i]
-            return packed.request_rows(rows).to_batches()
-
-        for b in (part for whole in batches for part in words.slices(whole)):
-            b = b.filter(b["train"])
-            if not b.num_rows:
-                continue
-            tok, _ = tokens(b["text"])
-            k, _, t, _ = packed.distinct(tok)
-            keys.append(k)
-            totals.append(t)
-            size += len(k)
-            if size > 4_000_000:
-                yield from flush()
-                keys, totals, size = [], [], 0
-        if keys:
-            yield from flush()
-
-    def total(t: pa.Table) -> pa.Table:
-        parts = [packed.unframe(p) for p in t["payload"].to_pylist()]
-        k, _, n, _ = packed.distinct(np.concatenate([packed.unpack_sorted(a) for a, _ in parts]), None, np.concatenate([packed.unpack(b) for _, b in parts]))
-        return pa.table({"bucket": t["bucket"][:1].cast(pa.int32()), "n_tokens": pa.array([int(n.sum())], pa.int64()), "n_types": pa.array([len(k)], pa.int64()), "payload": pa.array([packed.frame(packed.pack_sorted(k), packed.pack(n))], pa.binary())})
+def chain(parts: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit value of each row of word numbers."""
+    acc = np.full(len(parts[0]), U(len(parts)))
+    for x in parts:
+        acc = words.mix((acc ^ x.astype(U)) + U(words.BASE))
+    return acc
 
-    asked = base.select("text", "train").mapInArrow(count, packed.REQUEST)
-    return shared.written(asked.groupBy("bucket").applyInArrow(total, "bucket int, n_tokens long, n_types long, payload binary"), "vocabulary")
 
+def rows_of(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows)) if rows else [(), (), (), ()]
+    return pa.table({"bucket": pa.array(cols[0], pa.int32()), "chunk": pa.array(cols[1], pa.int64()), "round": pa.array(cols[2], pa.int32()), "payload": pa.array(cols[3], pa.binary())})
 
-def heads(vocab: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The at most 2**HEAD_BITS words with a relative frequency of 2**-HEAD_BITS and LEAST_HEAD occurrences or more: hashes and counts."""
 
-    def frequent(batches):
-        for b in batches:
-            for p in b["payload"].to_pylist():
-                k, c = packed.unframe(p)
-                k, c = packed.unpack_sorted(k), packed.unpack(c)
-                top = (c << HEAD_BITS >= n) & (c >= LEAST_HEAD)
-                yield pa.RecordBatch.from_pydict({"k": pa.array(k[top].view(np.int64)), "c": pa.array(c[top], pa.int64())})
+def small(a: np.ndarray) -> np.ndarray:
+    """Whole numbers in 32 bits where they fit."""
+    return a.astype(np.uint32) if not len(a) or int(a.max()) < 1 << 32 else a.astype(U)
 
-    got = vocab.select("payload").mapInArrow(frequent, "k long, c long").toArrow()
-    k, c = got["k"].to_numpy().view(U), got["c"].to_numpy()
-    order = np.argsort(k)
-    return k[order], c[order]
 
+# chunks and vocabulary
 
-def _ask(tok, off, train, head, chunk: int, buckets: int, bits: tuple[int, int] = (64, 32), depth: int = 1, live=None, hot=None, prior=None):
-    """Requests of a chunk and what is needed to read the answers: at depth 0 its distinct words, else distinct (context, symbol) pairs.
 
-    Pairs are asked for at `live` positions, each with its training count, its probability `prior` in the state that scores
-    it so far (1 where the pair occurs once at most, as it saves nothing then), and its context if that is hot: such pairs
-    are dealt as if each were a context of its own.
-    """
-    rare = ~member(tok, head)
-    uni, _, _, uni_place = packed.distinct(tok[rare] if depth == 0 else tok[:0])
-    at, ctx = contexts(tok, off, depth) if depth else (np.empty(0, np.int64), np.empty(0, U))
-    if live is not None:
-        at, ctx = at[live[at]], ctx[live[at]]
-    in_hot = np.zeros(len(at), bool) if hot is None else hot[at]
-    sym = np.where(in_hot, U(0), tok[at] >> U(64 - bits[1])).astype(np.uint32)
-    key = np.where(in_hot, words.mix(ctx * U(0x9FB21C651E98DF25) + tok[at]), ctx) >> U(64 - bits[0]) << U(64 - bits[0])
-    in_training = np.repeat(train, np.diff(off))[at]
-    keys, syms, seen, place = packed.distinct(key, sym, in_training)
-    whose = np.zeros(len(keys), U)
-    whose[place[in_hot]] = ctx[in_hot]
-    p = np.zeros(0 if prior is None else len(keys), np.float32)
-    if prior is not None:
-        p[place] = prior[at]
-    rows = []
-    if buckets:
-        a, b = packed.bucket_edges(uni, buckets), packed.bucket_edges(keys, buckets)
-        for i in range(buckets):
-            if a[i + 1] > a[i] or b[i + 1] > b[i]:
-                k = slice(b[i], b[i + 1])
-                names, index = np.unique(whose[k], return_inverse=True)
-                rows.append((i, chunk, depth, packed.frame(packed.pack_sorted(uni[a[i] : a[i + 1]]), packed.pack_sorted(keys[k]), packed.pack(syms[k]), packed.pack(np.minimum(seen[k], 2**32 - 1).astype(np.uint32)), packed.pack(p[k]), packed.pack(names), packed.pack(index.astype(np.uint32)))))
-    return rows, (rare, uni_place, len(uni), at, place, len(keys))
-
-
-def _answer(asked: pa.Table, vocab: pa.Table, root_sym: np.ndarray, root_p: np.ndarray, rest_p: float, limit: int = 2**62) -> pa.Table:
-    """One bucket: word counts, and for each (context, symbol) pair the symbol's and the context's counts and its number of successors, for pairs whose context is retained.
-
-    Also whether the pair occurs twice, and more than `limit` times. Of pairs in hot contexts only their own count is told
-    here, and a row of chunk -1 has the contexts' sums. Pairs asked without a probability have that of the given root.
-    """
-    rows = asked.select(["bucket", "chunk", "kind", "payload"]).to_pylist()
-    if not rows:
-        return packed.request_rows([])
-    known, totals = np.empty(0, U), np.empty(0, np.int64)
-    if vocab.num_rows:
-        k, c = packed.unframe(vocab["payload"][0].as_py())
-        known, totals = packed.unpack_sorted(k), packed.unpack(c)
-    unis, ctx, sym, seen, prior, hot = [], [], [], [], [], []
-    for r in rows:
-        u, k, s, n, q, names, index = packed.unframe(r.pop("payload"))
-        unis.append(packed.unpack_sorted(u))
-        ctx.append(packed.unpack_sorted(k))
-        sym.append(packed.unpack(s))
-        seen.append(packed.unpack(n))
-        prior.append(packed.unpack(q))
-        hot.append(packed.unpack(names)[packed.unpack(index)])
-    keys, syms, total, place = packed.distinct(np.concatenate(ctx), np.concatenate(sym), np.concatenate(seen))
-    own = total > 0  # pairs that only held-out texts have aren't part of the model
-    new = np.ones(len(keys), bool)
-    new[1:] = keys[1:] != keys[:-1]
-    at = np.flatnonzero(new)
-    group = np.cumsum(new) - 1
-    n_ctx = np.add.reduceat(total, at) if len(at) else np.empty(0, np.int64)
-    kinds = np.add.reduceat(own.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
-    p, whose = np.full(len(keys), rest_p), np.zeros(len(keys), U)
-    whose[place] = np.concatenate(hot)
-    prior = np.concatenate(prior)
-    if len(prior):
-        p[place] = prior
-    elif len(root_sym):
-        near = np.minimum(np.searchsorted(root_sym, syms), len(root_sym) - 1)
-        same = root_sym[near] == syms
-        p[same] = root_p[near[same]]
-    apart = whose > 0
-    # nats saved but for the context's own count, which each of its total - 1 tokens is divided by
-    gain = np.where(own, (total - 1) * np.log(np.maximum(total - DISCOUNT, 0.25) / p), 0.0)
-    kept = retained(n_ctx, kinds, np.add.reduceat(gain, at) if len(at) else np.empty(0))[group] & ~apart
-    told = kept | (apart & own)
-    out_sym, out_ctx, out_kinds = np.where(told, total, 0)[place], np.where(kept, n_ctx[group], 0)[place], np.where(kept, kinds[group], 0)[place]
-    told, twice, many = told[place], (total > 1)[place], (total > limit)[place]
-    out, i = [], 0
-    for r, u, k in zip(rows, unis, ctx):
-        j = i + len(k)
-        near = np.minimum(np.searchsorted(known, u), max(len(known) - 1, 0))
-        count = np.where(known[near] == u, totals[near], 0) if len(known) else np.zeros(len(u), np.int64)
-        there = told[i:j]
-        facts = [packed.pack(x[i:j][there].astype(np.uint32)) for x in (out_sym, out_ctx, out_kinds)]
-        bits = [packed.pack(np.packbits(x[i:j])) for x in (twice, many)]
-        out.append((r["bucket"], r["chunk"], r["kind"], packed.frame(packed.pack(count.astype(np.uint32)), packed.pack(np.packbits(there)), len(there).to_bytes(8, "little"), *facts, *bits)))
-        i = j
-    if (apart & own).any():
-        part = apart & own
-        names, index = np.unique(whose[part], return_inverse=True)
-        sums = [np.bincount(index, x[part], len(names)) for x in (total, own, gain)]
-        out.append((rows[0]["bucket"], -1, rows[0]["kind"], packed.frame(packed.pack(names), *map(packed.pack, sums))))
-    return packed.request_rows(out)
+def chunked(base: DataFrame, ranges: int) -> DataFrame:
+    """Chunks (bucket -1, with the texts' ids) and what they ask of each range of the vocabulary: distinct hashes and training counts."""
+    kind = base.schema["id"].dataType.simpleString()
+
+    def cut(batches):
+        part, n = TaskContext.get().partitionId(), 0
+        for b in (x for whole in batches for x in words.slices(whole, most=CHUNK_BYTES)):
+            tok, off = tokens(b["text"])
+            train = b["train"].to_numpy(zero_copy_only=False).astype(bool)
+            keys, _, seen, place = packed.distinct(tok, None, np.repeat(train, np.diff(off)))
+            chunk, n = part << 32 | n, n + 1
+            edges = packed.bucket_edges(keys, ranges)
+            asked = [(i, packed.frame(packed.pack_sorted(keys[a:z]), packed.pack(seen[a:z].astype(np.uint32)))) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if z > a]
+            own = packed.frame(packed.pack(place.astype(np.uint16 if len(keys) < 1 << 16 else np.uint32)), packed.pack(np.diff(off).astype(np.uint32)), packed.pack(np.packbits(train)))
+            lists = pa.ListArray.from_arrays(pa.array([0, *[b.num_rows] * (len(asked) + 1)], pa.int32()), b["id"])
+            yield pa.RecordBatch.from_arrays([pa.array([-1, *(i for i, _ in asked)], pa.int32()), pa.array([chunk] * (len(asked) + 1), pa.int64()), lists, pa.array([own, *(p for _, p in asked)], pa.binary())], ["bucket", "chunk", "ids", "payload"])
+
+    return shared.written(base.mapInArrow(cut, f"bucket int, chunk long, ids array<{kind}>, payload binary"), "chunks")
+
+
+def numbered(asked: DataFrame, ranges: int) -> DataFrame:
+    """Each chunk's words as numbers from 1 on, small for frequent ones, with their training counts; and for each range its sums (chunk -1)."""
+
+    def number(t: pa.Table) -> pa.Table:
+        bucket = t["bucket"][0].as_py()
+        parts = [packed.unframe(p) for p in t["payload"].to_pylist()]
+        keys = [packed.unpack_sorted(a) for a, _ in parts]
+        _, _, total, place = packed.distinct(np.concatenate(keys), None, np.concatenate([packed.unpack(b) for _, b in parts]))
+        number = np.empty(len(total), U)
+        number[np.argsort(-total, kind="stable")] = np.arange(len(total), dtype=U) * U(ranges) + U(bucket + 1)
+        out, at = [], 0
+        for chunk, k in zip(t["chunk"].to_pylist(), keys):
+            own = place[at : at + len(k)]
+            out.append((bucket, chunk, 0, packed.frame(packed.pack(small(number[own])), packed.pack(small(total[own])))))
+            at += len(k)
+        rows = rows_of([*out, (bucket, -1, 0, b"")])
+        sums = [int(total.sum()), int((total > 0).sum()), int(total.max())]
+        for name, x in zip(("tokens", "types", "most"), sums):
+            rows = rows.append_column(name, pa.array([None] * len(out) + [x], pa.int64()))
+        return rows
+
+    return shared.written(asked.groupBy("bucket").applyInArrow(number, f"{ASKED}, tokens long, types long, most long"), "vocabulary")
+
+
+# the tree
 
 
 def retained(n, kinds, gain) -> np.ndarray:
@@ -233,69 +134,222 @@ def retained(n, kinds, gain) -> np.ndarray:
     return gain - (n - kinds) * np.log(n + ROOT_TOKENS) + kinds * np.log((kinds * DISCOUNT + ROOT_TOKENS) / (n + ROOT_TOKENS)) >= THRESHOLD
 
 
-def hot_states(answers: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, tokens and numbers of successors of a round's retained hot contexts."""
+def saved(own, p) -> np.ndarray:
+    """Nats that a context's counts of its symbols save over probabilities p, but for the context's own count, which each token after the first is divided by."""
+    return np.where(own > 0, (own - 1) * np.log(np.maximum(own - DISCOUNT, 0.25) / p), 0.0)
 
-    def sums(batches):
-        for b in batches:
-            for x in b["payload"].to_pylist():
-                names, n, kinds, gain = map(packed.unpack, packed.unframe(x))
-                yield pa.RecordBatch.from_pydict({"k": pa.array(names.view(np.int64)), "n": pa.array(n), "kinds": pa.array(kinds), "gain": pa.array(gain)})
 
-    rows = answers.where("chunk = -1").select("payload").mapInArrow(sums, "k long, n double, kinds double, gain double")
-    got = rows.groupBy("k").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"), F.sum("gain").alias("gain")).toArrow()
-    k, n, kinds, gain = (got[c].to_numpy() for c in ("k", "n", "kinds", "gain"))
-    k, kept = k.view(U), retained(n, kinds, gain)
-    order = np.flatnonzero(kept)[np.argsort(k[kept])]
-    return k[order], n[order], kinds[order]
+def smoothed(own, n, kinds, p) -> np.ndarray:
+    """Probabilities in a state of symbols that the next shorter state gives p."""
+    return (np.maximum(own - DISCOUNT, 0) + (DISCOUNT * kinds + ROOT_TOKENS) * p) / (n + ROOT_TOKENS)
+
 
+def grown(done: np.ndarray, before: list[np.ndarray], sym: np.ndarray, seen: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities of positions in their longest retained contexts, and which of them any context changed.
 
-def walk(tok, off, train, found: pa.Table, head, head_n, total: int, limit: int, bits, states):
-    """Training counts and probabilities of a chunk's tokens by the rounds answered so far; for the next, positions to ask for (live), hot ones, and priors."""
-    answers = {}
-    for r in sorted(found.to_pylist(), key=lambda r: r["bucket"]):
-        answers.setdefault(r["kind"], []).append(packed.unframe(r["payload"]))
-    joined = lambda arrays: np.concatenate([np.empty(0), *arrays])  # noqa: E731  without rare words and contexts nothing was asked
-    flags = lambda parts, k: joined(np.unpackbits(packed.unpack(p[k]), count=int.from_bytes(p[2], "little")) for p in parts).astype(bool)
-    inner = np.ones(len(tok), bool)
-    inner[off[:-1]] = False
+    done: context words already dealt with; before: numbers of the nearest, second and third word before (0: none);
+    seen: training occurrences; p: probabilities so far. The positions hold all that share a context of done + 1 words.
+    """
+    p, changed, open_ = p.copy(), np.zeros(len(p), bool), np.ones(len(p), bool)
+    for depth in range(1, DEPTH + 1):
+        open_ &= (before[depth - 1] > 0) | (done >= depth)
+        at = np.flatnonzero(open_ & (done < depth))
+        ctx = chain([b[at] for b in before[:depth]])
+        _, group = np.unique(ctx, return_inverse=True)
+        n = np.bincount(group, seen[at])
+        twice = n[group] > 1  # a context that occurs once is no state, nor is any longer one
+        open_[at[~twice]] = False
+        at, group = at[twice], group[twice]
+        if not len(at):
+            continue
+        _, first, pair = np.unique(chain([ctx[twice], sym[at]]), return_index=True, return_inverse=True)
+        own, of = np.bincount(pair, seen[at]), group[first]
+        kinds = np.bincount(of, own > 0, len(n))
+        kept = retained(np.maximum(n, 1), kinds, np.bincount(of, saved(own, p[at[first]]), len(n)))[of]
+        new = smoothed(own, n[of], kinds[of], p[at[first]])
+        hit = kept[pair]
+        p[at[hit]] = new[pair[hit]]
+        changed[at[hit]] = True
+    return p, changed
+
+
+class Chunk:
+    """A chunk's tokens and what the rounds answered so far say of them.
+
+    answers: payloads by round, in the order of buckets; states: for each round of hot contexts their sorted hashes, tokens
+    and successors.
+    """
 
-    def following(flag):
+    def __init__(self, payload: bytes, answers: dict[int, list[bytes]], total: int, limit: int, buckets: int, states: list):
+        place, size, train = map(packed.unpack, packed.unframe(payload))
+        self.off = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        self.train = np.unpackbits(train, count=len(size)).astype(bool)
+        parts = [tuple(map(packed.unpack, packed.unframe(p))) for p in answers.get(0, [])]
+        number, count = (np.concatenate([x[k].astype(U) for x in parts]) for k in range(2))
+        order = np.argsort(number)
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        self.numbers, self.local = number[order], rank[place]  # tokens as places among the chunk's sorted numbers
+        self.count = count[place].astype(np.float64)
+        self.p = (self.count + 1) / total
+        self.place = np.arange(len(place)) - np.repeat(self.off[:-1], size)
+        self.limit, self.buckets = limit, buckets
+        self.done = np.zeros(len(place), np.uint8)
+        self.live, self.hot = self.after(self.count > 1), self.after(self.count > limit)
+        for depth, (ctx, n, kinds) in enumerate(states, 1):
+            at, pairs, into, context, _ = self.hot_pairs(depth)
+            own = np.concatenate([np.zeros(0), *(packed.unpack(p) for p in answers.get(depth, []))])
+            near = np.minimum(np.searchsorted(ctx, context), max(len(ctx) - 1, 0))
+            kept = ctx[near] == context if len(ctx) else np.zeros(len(at), bool)
+            own = own[into] if len(at) else np.zeros(0)
+            self.p[at[kept]] = smoothed(own[kept], n[near[kept]], kinds[near[kept]], self.p[at[kept]])
+            self.done[at] = depth
+            often = np.full(len(place), np.inf)  # how often a position's context occurs with its symbol, as far as it was asked
+            often[at] = own
+            # what a hot context is followed by tells how often the next longer context occurs
+            known = self.after(np.isfinite(often))
+            self.live &= ~(known & (self.done == depth)) | self.after(often > 1)
+            self.hot = self.after(np.isfinite(often) & (often > limit)) & (self.done == depth)
+
+    def after(self, flag: np.ndarray) -> np.ndarray:
         """Positions after flagged ones in the same text."""
-        out = np.zeros(len(tok), bool)
+        out = np.zeros(len(flag), bool)
         out[1:] = flag[:-1]
-        return out & inner
-
-    _, (rare, uni_place, n_uni, *_) = _ask(tok, off, train, head, 0, 0, bits, 0)
-    uni = joined(packed.unpack(p[0]) for p in answers.get(0, []))
-    count = np.zeros(len(tok))
-    count[rare] = uni[uni_place] if n_uni else 0
-    if len(head):
-        count[~rare] = head_n[np.searchsorted(head, tok[~rare])]
-    p = (count + 1) / total
-    twice, many = count > 1, count > limit
-    live, hot = following(twice), following(many)
-    for depth, (hot_ctx, hot_n, hot_kinds) in enumerate(states, 1):
-        _, (_, _, _, at, place, _) = _ask(tok, off, train, head, 0, 0, bits, depth, live, hot)
-        parts = answers.get(depth, [])
-        there = flags(parts, 1)
-        own, n, kinds = np.zeros((3, len(there)))
-        for k, x in enumerate((own, n, kinds)):
-            x[there] = joined(packed.unpack(q[3 + k]) for q in parts)
-        own, n, kinds = own[place], n[place], kinds[place]
-        in_hot = np.flatnonzero(hot[at])
-        if len(hot_ctx) and len(in_hot):
-            where, ctx = contexts(tok, off, depth)
-            ctx = ctx[np.searchsorted(where, at[in_hot])]
-            near = np.minimum(np.searchsorted(hot_ctx, ctx), len(hot_ctx) - 1)
-            same = hot_ctx[near] == ctx
-            n[in_hot[same]], kinds[in_hot[same]] = hot_n[near[same]], hot_kinds[near[same]]
-        kept = n > 0
-        p[at[kept]] = (np.maximum(own[kept] - DISCOUNT, 0) + (DISCOUNT * kinds[kept] + ROOT_TOKENS) * p[at[kept]]) / (n[kept] + ROOT_TOKENS)
-        twice, many = np.zeros((2, len(tok)), bool)
-        twice[at], many[at] = flags(parts, 6)[place], flags(parts, 7)[place]
-        live, hot = following(twice), following(many)
-    return count, p, live, hot, np.where(twice, p, 1.0)
+        return out & (self.place > 0)
+
+    def word(self, at: np.ndarray, back: int) -> np.ndarray:
+        """Place among the numbers, from 1 on, of the word so far back; 0 before the text."""
+        return np.where(self.place[at] >= back, self.local[np.maximum(at - back, 0)] + 1, 0)
+
+    def hot_pairs(self, depth: int):
+        """Positions in hot contexts, their distinct (context, symbol) hashes, each position's place among these, context hashes, and training counts."""
+        at = np.flatnonzero(self.hot)
+        context = chain([self.numbers[self.local[at - k]] for k in range(1, depth + 1)])
+        pairs, _, seen, into = packed.distinct(chain([context, self.numbers[self.local[at]]]), None, self.trained(at))
+        return at, pairs, into, context, seen
+
+    def trained(self, at: np.ndarray) -> np.ndarray:
+        return self.train[np.searchsorted(self.off, at, "right") - 1]
+
+    def ask_hot(self, depth: int, chunk: int) -> list[tuple]:
+        at, pairs, into, context, seen = self.hot_pairs(depth)
+        p, whose = np.zeros(len(pairs), np.float32), np.zeros(len(pairs), U)
+        p[into], whose[into] = self.p[at], context
+        edges = packed.bucket_edges(pairs, self.buckets)
+        out = []
+        for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])):
+            if z > a:
+                names, index = np.unique(whose[a:z], return_inverse=True)
+                out.append((i, chunk, depth, packed.frame(packed.pack_sorted(pairs[a:z]), packed.pack(seen[a:z].astype(np.uint32)), packed.pack(p[a:z]), packed.pack(names), packed.pack(index.astype(np.uint32)))))
+        return out
+
+    def open_positions(self):
+        """Positions that go to the buckets: the first of each distinct one, each position's place among these, training counts, and the buckets' edges."""
+        at = np.flatnonzero(self.live & (self.place > self.done) & (self.done < DEPTH))
+        back = [self.word(at, k) for k in range(1, DEPTH + 1)]
+        done = self.done[at]
+        key = chain([np.where(done >= k, np.append(self.numbers, U(0))[b - 1], U(0)) for k, b in enumerate(back)])  # the nearest done + 1 words
+        bucket = (key >> U(32)) * U(self.buckets) >> U(32)
+        one = bucket.astype(np.int64) << 42 | back[0] << 21 | back[1]
+        two = back[2] << 21 | self.local[at]
+        if len(self.numbers) >= 1 << 21 or self.buckets >= 1 << 21:  # a text of that many different words, or so many buckets, is sorted by five keys
+            order = np.lexsort((self.local[at], *back[::-1], bucket))
+            same = np.logical_and.reduce([x[order][1:] == x[order][:-1] for x in (bucket, *back, self.local[at])])
+        else:
+            order = np.lexsort((two, one))
+            same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1])
+        new = np.append(np.ones(min(len(at), 1), bool), ~same)
+        into = np.empty(len(at), np.int64)
+        into[order] = np.cumsum(new) - 1
+        first = order[new]
+        seen = np.bincount(into, self.trained(at), len(first))
+        edges = np.searchsorted(bucket[first], np.arange(self.buckets + 1, dtype=U))
+        return at, first, into, seen, edges
+
+    def ask_main(self, chunk: int) -> list[tuple]:
+        at, first, _, seen, edges = self.open_positions()
+        at = at[first]
+        numbers = np.append(self.numbers, U(0))
+        cols = [numbers[self.word(at, k) - 1] for k in range(1, DEPTH + 1)]
+        out = []
+        for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])):
+            if z > a:
+                own = at[a:z]
+                done = self.done[own]
+                out.append((i, chunk, MAIN, packed.frame(packed.pack(done), *[packed.pack(small(x[a:z])) for x in cols], packed.pack(small(self.numbers[self.local[own]])), packed.pack(seen[a:z].astype(np.uint32)), packed.pack(small(np.where(done > 0, 0, self.count[own]).astype(U))), packed.pack(self.p[own[done > 0]].astype(np.float32)))))
+        return out
+
+    def finish(self, answers: list[bytes]) -> None:
+        """Takes the probabilities of the buckets."""
+        if not answers:
+            return
+        at, first, into, _, _ = self.open_positions()
+        p, there = np.zeros(len(first)), []
+        for x in answers:
+            size, bits, _ = packed.unframe(x)
+            there.append(np.unpackbits(packed.unpack(bits), count=int.from_bytes(size, "little")))
+        there = np.concatenate(there).astype(bool)
+        p[there] = np.concatenate([packed.unpack(packed.unframe(x)[2]) for x in answers])
+        hit = there[into]
+        self.p[at[hit]] = p[into[hit]]
+
+
+def answer_hot(t: pa.Table) -> pa.Table:
+    """One bucket of pairs in hot contexts: the counts asked for, and the contexts' sums (chunk -1)."""
+    rows = t.select(["bucket", "chunk", "round", "payload"]).to_pylist()
+    parts = [packed.unframe(r["payload"]) for r in rows]
+    keys = [packed.unpack_sorted(x[0]) for x in parts]
+    pairs, _, total, place = packed.distinct(np.concatenate(keys), None, np.concatenate([packed.unpack(x[1]) for x in parts]))
+    p, whose = np.ones(len(pairs)), np.zeros(len(pairs), U)
+    p[place] = np.concatenate([packed.unpack(x[2]) for x in parts])
+    whose[place] = np.concatenate([packed.unpack(x[3])[packed.unpack(x[4])] for x in parts])
+    out, at = [], 0
+    for r, k in zip(rows, keys):
+        out.append((r["bucket"], r["chunk"], r["round"], packed.pack(small(total[place[at : at + len(k)]]))))
+        at += len(k)
+    names, index = np.unique(whose, return_inverse=True)
+    sums = [np.bincount(index, x, len(names)) for x in (total, total > 0, saved(total, p))]
+    return rows_of([*out, (rows[0]["bucket"], -1, rows[0]["round"], packed.frame(packed.pack(names), *map(packed.pack, sums), packed.pack(np.array([total.max()]))))])
+
+
+def answer_main(total: int):
+    def run(t: pa.Table) -> pa.Table:
+        """One bucket of positions: their probabilities where a context changed them, in the order asked."""
+        rows = t.select(["bucket", "chunk", "round", "payload"]).to_pylist()
+        parts = []
+        for r in rows:
+            parts.append([packed.unpack(x) for x in packed.unframe(r.pop("payload"))])
+        sizes = [len(x[0]) for x in parts]
+        done, *before, sym, seen, count = (np.concatenate([x[k] for x in parts]) for k in range(DEPTH + 4))
+        p = (count.astype(np.float64) + 1) / total
+        p[done > 0] = np.concatenate([x[DEPTH + 4] for x in parts])
+        del parts
+        p, changed = grown(done, before, sym, seen, p)
+        out, at = [], 0
+        for r, n in zip(rows, sizes):
+            own = slice(at, at + n)
+            out.append((r["bucket"], r["chunk"], r["round"], packed.frame(n.to_bytes(8, "little"), packed.pack(np.packbits(changed[own])), packed.pack(p[own][changed[own]].astype(np.float32)))))
+            at += n
+        return rows_of(out)
+
+    return run
+
+
+def hot_states(answers: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], int]:
+    """Hashes, tokens and numbers of successors of a round's retained hot contexts; the most frequent pair's count."""
+
+    def sums(batches):
+        for b in batches:
+            for x in b["payload"].to_pylist():
+                names, n, kinds, gain, most = map(packed.unpack, packed.unframe(x))
+                yield pa.RecordBatch.from_pydict({"k": pa.array(names.view(np.int64)), "n": pa.array(n), "kinds": pa.array(kinds), "gain": pa.array(gain), "most": pa.array(np.repeat(most.astype(np.int64), len(names)))})
+
+    rows = answers.where("chunk = -1").select("payload").mapInArrow(sums, "k long, n double, kinds double, gain double, most long")
+    got = rows.groupBy("k").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"), F.sum("gain").alias("gain"), F.max("most").alias("most")).toArrow()
+    k, n, kinds, gain, most = (got[c].to_numpy() for c in ("k", "n", "kinds", "gain", "most"))
+    k, kept = k.view(U), retained(np.maximum(n, 1), kinds, gain)
+    order = np.flatnonzero(kept)[np.argsort(k[kept])]
+    return (k[order], n[order], kinds[order]), int(most.max(initial=0))
 
 
 def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -308,59 +362,53 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     empty table gives an empty result; with no training text at all every symbol is unknown. Other columns are ignored.
     """
     spark = docs.sparkSession
-    chunks, buckets = packed.chunks_for(docs.count())
     base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
-    vocab = vocabulary(base, buckets)
-    n, v = vocab.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_types"), F.lit(0))).first()
-    head, head_n = heads(vocab, n)
-    total = n + v + 1
-    bits, limit = key_bits(n), max(LEAST_HOT, n >> HOT_BITS)
-    base = packed.with_chunk(base, chunks, F.col("id"), F.col("text"))
-    by_chunk = base.groupBy("chunk")
-    answers, states = spark.createDataFrame([], packed.REQUEST), []
-
-    def rounds_so_far():
-        return spark.sparkContext.broadcast((head, head_n, total, limit, bits, list(states)))
-
-    def asker(model, depth):
+    size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    ranges = max(8, -(-size // RANGE_BYTES))
+    parts = chunked(base, ranges)
+    chunks = parts.where("bucket = -1").select("chunk", "ids", "payload")
+    vocab = numbered(parts.where("bucket >= 0").select("bucket", "chunk", "payload"), ranges)
+    n, v, most = vocab.agg(*[F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "tokens"), (F.sum, "types"), (F.max, "most"))]).first()
+    total, limit, buckets, states = n + v + 1, max(LEAST_HOT, n >> HOT_BITS), max(8, -(-n // BUCKET_TOKENS)), []
+    names = ("bucket", "chunk", "round", "payload")
+    answers = vocab.where("chunk >= 0").select(*names)
+
+    def opened(t: pa.Table, found: pa.Table, model) -> tuple[Chunk, dict]:
+        by_round: dict[int, list] = {}
+        for r in sorted(found.to_pylist(), key=lambda r: r["bucket"]):
+            by_round.setdefault(r["round"], []).append(r["payload"])
+        return Chunk(t["payload"][0].as_py(), by_round, *model.value), by_round
+
+    def asker(depth: int, model):
         def ask(t: pa.Table, found: pa.Table) -> pa.Table:
-            if not t.num_rows:
-                return packed.request_rows([])
-            tok, off = tokens(t["text"])
-            train, h = t["train"].to_numpy(), model.value[0]
-            live = hot = p = None
-            if depth:
-                _, _, live, hot, p = walk(tok, off, train, found, *model.value)
-            return packed.request_rows(_ask(tok, off, train, h, t["chunk"][0].as_py(), buckets, bits, depth, live, hot, p)[0])
+            chunk, at = opened(t, found, model)[0], t["chunk"][0].as_py()
+            return rows_of(chunk.ask_main(at) if depth == MAIN else chunk.ask_hot(depth, at))
 
         return ask
 
-    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        return _answer(asked, known, np.empty(0, np.uint32), np.empty(0), 1.0, limit)
-
-    for depth in range(DEPTH + 1):
-        model = rounds_so_far()
-        asked = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(asker(model, depth), packed.REQUEST)
-        # only the first round asks for words
-        counts = vocab if depth == 0 else vocab.limit(0)
-        got = shared.written(asked.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInArrow(answer, packed.REQUEST), f"round{depth}")
-        if depth:
-            states.append(hot_states(got))
+    def asked(depth: int) -> DataFrame:
+        model = spark.sparkContext.broadcast((total, limit, buckets, list(states)))
+        return chunks.drop("ids").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(asker(depth, model), ASKED)
+
+    for depth in range(1, DEPTH + 1):
+        if most <= limit:  # no context of that length is hot
+            break
+        got = shared.written(asked(depth).groupBy("bucket").applyInArrow(answer_hot, ASKED), f"round{depth}")
+        state, most = hot_states(got)
+        states.append(state)
         answers = answers.union(got.where("chunk >= 0"))
-    model = rounds_so_far()
+    got = shared.written(asked(MAIN).groupBy("bucket").applyInArrow(answer_main(total), ASKED), "tree")
+    answers, model = answers.union(got), spark.sparkContext.broadcast((total, limit, buckets, states))
 
     def score(t: pa.Table, found: pa.Table) -> pa.Table:
-        if not t.num_rows:
-            empty = pa.array([], pa.int64())
-            return pa.table({"id": t["id"], "held_out": pa.array([], pa.bool_()), "n_tokens": empty, "n_known": empty, "train_tokens": empty, "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        tok, off = tokens(t["text"])
-        train = t["train"].to_numpy()
-        count, p, *_ = walk(tok, off, train, found, *model.value)
-        sums = [np.add.reduceat(x, off[:-1]) for x in (np.log10((count + 1) / total), np.log10(p))]
-        return pa.table({"id": t["id"], "held_out": pa.array(~train), "n_tokens": pa.array(np.diff(off), pa.int64()), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), off[:-1])), "train_tokens": pa.array(np.full(t.num_rows, n, np.int64)), "base_score": pa.array(sums[0]), "score": pa.array(sums[1])})
+        c, by_round = opened(t, found, model)
+        c.finish(by_round.get(MAIN, []))
+        add = lambda x: pa.array(np.add.reduceat(x, c.off[:-1]))  # noqa: E731  every text has a token, its end
+        ids = t["ids"].combine_chunks().flatten()
+        return pa.table({"id": ids, "held_out": pa.array(~c.train), "n_tokens": pa.array(np.diff(c.off), pa.int64()), "n_known": add((c.count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), n, np.int64)), "base_score": add(np.log10((c.count + 1) / total)), "score": add(np.log10(c.p))})
 
     kind = base.schema["id"].dataType.simpleString()
-    out = by_chunk.cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -6,7 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from loomspan.llm import lm
@@ -53,24 +53,28 @@ def test_every_state_is_a_distribution(make):
     assert 0 < prefix < 1
 
 
-def test_state_sums_to_one():
-    off = np.array([0, 4, 8, 12, 16])
-    tok = np.array([11, 12, 13, 1] * 3 + [11, 12, 14, 1], np.uint64) << np.uint64(40)
-    head = np.empty(0, np.uint64)
-    rows, (_, _, _, at, place, n) = lm._ask(tok, off, np.ones(4, bool), head, 0, 1)
-    from loomspan.llm import packed
-
-    vocab = pa.table({"payload": pa.array([packed.frame(packed.pack_sorted(np.unique(tok)), packed.pack(np.unique(tok, return_counts=True)[1]))], pa.binary())})
-    answer = lm._answer(packed.request_rows(rows), vocab, np.empty(0, np.uint32), np.empty(0), 1e-3)
-    part = packed.unframe(answer["payload"][0].as_py())
-    kept = np.unpackbits(packed.unpack(part[1]), count=int.from_bytes(part[2], "little")).astype(bool)
-    own, ctx, kinds = (packed.unpack(x).astype(float) for x in part[3:6])
-    assert kept.any()
-    keys = packed.unpack_sorted(packed.unframe(rows[0][3])[1])[kept]
-    for k in np.unique(keys):
-        here = keys == k
-        root = (lm.DISCOUNT * kinds[here][0] + lm.ROOT_TOKENS) / (ctx[here][0] + lm.ROOT_TOKENS)
-        assert abs(sum(own[here] - lm.DISCOUNT) / (ctx[here][0] + lm.ROOT_TOKENS) + root - 1) < 1e-9
+def test_states_sum_to_one():
+    """In every state the probabilities of all symbols, and of an unknown one, sum to one, whatever context a symbol is scored in."""
+    rnd = np.random.default_rng(3)
+    train = [rnd.integers(1, 9, 12) if k % 2 else np.array([1, 2, 3, 4, 1, 2, 3, 4, 1, 2, 3, 4]) for k in range(40)]
+    root = np.bincount(np.concatenate(train), minlength=10)
+    total = root.sum() + (root > 0).sum() + 1
+    asked = {}
+    for text in train:
+        for t in range(3, len(text)):
+            key = (text[t - 1], text[t - 2], text[t - 3], text[t])
+            asked[key] = asked.get(key, 0) + 1
+    contexts = sorted({k[:3] for k in asked})
+    for ctx in contexts:  # each context is asked for all symbols and an unknown one
+        for sym in range(1, 10):
+            asked.setdefault((*ctx, sym), 0)
+    keys, seen = np.array(list(asked), np.uint64), np.array(list(asked.values()))
+    p = (root[keys[:, 3].astype(int)] + 1) / total
+    new, changed = lm.grown(np.zeros(len(keys), np.uint8), [keys[:, k] for k in range(3)], keys[:, 3], seen, p)
+    assert changed.any() and (new[~changed] == p[~changed]).all()
+    for ctx in contexts:
+        here = (keys[:, :3] == np.array(ctx, np.uint64)).all(axis=1)
+        assert abs(new[here].sum() - 1) < 1e-9
 
 
 def test_empty_and_untrained_tables(make):
@@ -90,13 +94,17 @@ def test_a_longer_context_decides(make):
     assert got[probes[0][0]] > got[probes[1][0]] + 1
 
 
-def test_frequent_words_and_hot_contexts_score_like_others(make, corpus, monkeypatch):
-    """Where words and contexts are counted depends on the size of the input; the scores don't."""
-    rows = [*corpus, *((1000 + i, "of the and of the only thou of and the of " * 20 + f"end{i % 3}") for i in range(40))]
-    assert max(Counter(w for _, t in rows for w in (t or "").split()).values()) >= lm.LEAST_HEAD
+def frequent(corpus):
+    """The corpus with words, pairs and triples that are much more frequent than others."""
+    return [*corpus, *((1000 + i, "of the and of the only thou of and the of " * 20 + f"end{i % 3}") for i in range(40))]
+
+
+def test_hot_contexts_score_like_others(make, corpus, monkeypatch):
+    """Where contexts are counted depends on how frequent they are; the scores don't."""
+    rows = frequent(corpus)
     plain = sorted((str(r["doc_id"]), r["score"]) for r in scored(make, rows))
-    for name, least in (("LEAST_HEAD", 8), ("LEAST_HOT", 8), ("LEAST_HEAD", 2**40)):
-        monkeypatch.setattr(lm, name, least, raising=False)
+    for name, size in (("LEAST_HOT", 8), ("LEAST_HOT", 1500), ("CHUNK_BYTES", 2000), ("BUCKET_TOKENS", 50), ("RANGE_BYTES", 1000)):
+        monkeypatch.setattr(lm, name, size)
         other = sorted((str(r["doc_id"]), r["score"]) for r in scored(make, rows))
         assert [i for i, _ in plain] == [i for i, _ in other]
         assert all(abs(a - b) < 1e-3 for (_, a), (_, b) in zip(plain, other))
@@ -133,11 +141,31 @@ def brute_scores(rows):
     return scores, [len(k) for k in kept[1:]], root
 
 
-def test_scores_against_a_brute_force_tree(make, corpus):
-    """Head words alone are states, and contexts of two and three words are retained."""
-    rows = [*corpus, *((1000 + i, "of the and of the only thou of and the of " * 20 + f"end{i % 3}") for i in range(40))]
+@pytest.mark.parametrize("hot", [lm.LEAST_HOT, 8])
+def test_scores_against_a_brute_force_tree(make, corpus, monkeypatch, hot):
+    """Frequent words alone are states, and contexts of two and three words are retained; all of them hot, or none."""
+    rows = frequent(corpus)
     want, kept, root = brute_scores(rows)
-    assert all(kept) and max(root.values()) >= lm.LEAST_HEAD
+    assert all(kept) and max(root.values()) >= 1024
+    monkeypatch.setattr(lm, "LEAST_HOT", hot)
     got = [(r["doc_id"], round(r["score"], 5)) for r in scored(make, rows)]
     for (i, a), (j, b) in zip(sorted(want, key=str), sorted(got, key=str), strict=True):
         assert i == j and abs(a - b) < 1e-3
+
+
+def test_a_chunk_of_many_different_words_and_a_very_long_text(make):
+    """A text longer than a chunk is a chunk of its own, and takes the way of chunks with more words than a sort key holds."""
+    long = " ".join(f"w{i}" for i in range(2_200_000))
+    rows = [(0, long), (1, "w1 w2 w3"), (2, None)]
+    got = {r["doc_id"]: r for r in scored(make, rows)}
+    assert got[0]["n_tokens"] == 2_200_001 and got[1]["n_tokens"] == 4 and got[2]["n_tokens"] == 1
+    assert all(r["n_known"] == r["n_tokens"] for r in got.values()) and all(np.isfinite(r["score"]) for r in got.values())
+
+
+def test_repeated_rows_and_extra_columns(make):
+    """Null ids, equal rows and string ids come back as they are."""
+    rows = [(None, None)] * 3 + [("a", "x y"), ("a", "x y"), ("b", "")]
+    df = make(rows, "string")
+    got = lm.score_texts(df, F.lit(True)).collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    assert len({(r["n_tokens"], r["score"]) for r in got if r["doc_id"] == "a"}) == 1
