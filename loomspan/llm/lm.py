@@ -22,6 +22,8 @@ counted, not the model.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -42,7 +44,7 @@ LEAST_HOT = 1 << 18
 #: Bytes of text in a chunk (a longer text is one of its own), and in a range of the vocabulary; positions in a bucket.
 CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 64 << 20
-BUCKET_TOKENS = 1 << 21
+BUCKET_TOKENS = 1 << 20
 END = U(0x6A09E667F3BCC909)
 MAIN = DEPTH + 1
 
@@ -82,9 +84,9 @@ def small(a: np.ndarray) -> np.ndarray:
 # chunks and vocabulary
 
 
-def chunked(base: DataFrame, ranges: int) -> DataFrame:
-    """Chunks (bucket -1, with the texts' ids) and what they ask of each range of the vocabulary: distinct hashes and training counts."""
-    kind = base.schema["id"].dataType.simpleString()
+def chunked(base: DataFrame, ranges: int) -> tuple[DataFrame, DataFrame, str]:
+    """Chunks (chunk, ids, payload) and what they ask of each range of the vocabulary, distinct hashes and training counts (bucket, chunk, payload): two tables from one pass; the second's folder."""
+    spark, kind = base.sparkSession, base.schema["id"].dataType.simpleString()
 
     def cut(batches):
         part, n = TaskContext.get().partitionId(), 0
@@ -97,9 +99,13 @@ def chunked(base: DataFrame, ranges: int) -> DataFrame:
             asked = [(i, packed.frame(packed.pack_sorted(keys[a:z]), packed.pack(seen[a:z].astype(np.uint32)))) for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])) if z > a]
             own = packed.frame(packed.pack(place.astype(np.uint16 if len(keys) < 1 << 16 else np.uint32)), packed.pack(np.diff(off).astype(np.uint32)), packed.pack(np.packbits(train)))
             lists = pa.ListArray.from_arrays(pa.array([0, *[b.num_rows] * (len(asked) + 1)], pa.int32()), b["id"])
-            yield pa.RecordBatch.from_arrays([pa.array([-1, *(i for i, _ in asked)], pa.int32()), pa.array([chunk] * (len(asked) + 1), pa.int64()), lists, pa.array([own, *(p for _, p in asked)], pa.binary())], ["bucket", "chunk", "ids", "payload"])
+            yield pa.RecordBatch.from_arrays([pa.array([True] + [False] * len(asked)), pa.array([-1, *(i for i, _ in asked)], pa.int32()), pa.array([chunk] * (len(asked) + 1), pa.int64()), lists, pa.array([own, *(p for _, p in asked)], pa.binary())], ["whole", "bucket", "chunk", "ids", "payload"])
 
-    return shared.written(base.mapInArrow(cut, f"bucket int, chunk long, ids array<{kind}>, payload binary"), "chunks")
+    path = f"{shared.shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
+    rows = base.mapInArrow(cut, f"whole boolean, bucket int, chunk long, ids array<{kind}>, payload binary")
+    rows.write.partitionBy("whole").parquet(path)
+    table = spark.read.schema(f"bucket int, chunk long, ids array<{kind}>, payload binary, whole boolean").parquet(path)
+    return table.where("whole").select("chunk", "ids", "payload"), table.where("NOT whole").select("bucket", "chunk", "payload"), f"{path}/whole=false"
 
 
 def numbered(asked: DataFrame, ranges: int) -> DataFrame:
@@ -275,8 +281,16 @@ class Chunk:
         for i, (a, z) in enumerate(zip(edges[:-1], edges[1:])):
             if z > a:
                 own = at[a:z]
-                done = self.done[own]
-                out.append((i, chunk, MAIN, packed.frame(packed.pack(done), *[packed.pack(small(x[a:z])) for x in cols], packed.pack(small(self.numbers[self.local[own]])), packed.pack(seen[a:z].astype(np.uint32)), packed.pack(small(np.where(done > 0, 0, self.count[own]).astype(U))), packed.pack(self.p[own[done > 0]].astype(np.float32)))))
+                done, nearest = self.done[own], cols[0][a:z]
+                symbols, sym = np.unique(self.local[own], return_inverse=True)
+                count = self.count[own[np.unique(sym, return_index=True)[1]]]
+                step = small(np.diff(nearest, prepend=U(0)))
+                tell = packed.frame(
+                    packed.pack_columns(step, *[small(x[a:z]) for x in cols[1:]], sym.astype(np.uint16 if len(symbols) <= 1 << 16 else np.uint32), done, small(seen[a:z].astype(U))),
+                    packed.pack_columns(small(np.diff(self.numbers[symbols], prepend=U(0))), small(count.astype(U))),
+                    packed.pack_columns(self.p[own[done > 0]].astype(np.float32)),
+                )
+                out.append((i, chunk, MAIN, tell))
         return out
 
     def finish(self, answers: list[bytes]) -> None:
@@ -316,14 +330,15 @@ def answer_main(total: int):
     def run(t: pa.Table) -> pa.Table:
         """One bucket of positions: their probabilities where a context changed them, in the order asked."""
         rows = t.select(["bucket", "chunk", "round", "payload"]).to_pylist()
-        parts = []
+        parts, sizes = [], []
         for r in rows:
-            parts.append([packed.unpack(x) for x in packed.unframe(r.pop("payload"))])
-        sizes = [len(x[0]) for x in parts]
-        done, *before, sym, seen, count = (np.concatenate([x[k] for x in parts]) for k in range(DEPTH + 4))
+            (step, second, third, sym, done, seen), (symbols, count), (p,) = map(packed.unpack_columns, packed.unframe(r.pop("payload")))
+            sizes.append(len(step))
+            parts.append((np.cumsum(step.astype(U)), second, third, np.cumsum(symbols.astype(U))[sym], done, seen, count[sym], p))
+        *before, sym, done, seen, count = (np.concatenate([x[k] for x in parts]) for k in range(7))
         p = (count.astype(np.float64) + 1) / total
-        p[done > 0] = np.concatenate([x[DEPTH + 4] for x in parts])
-        del parts
+        p[done > 0] = np.concatenate([x[7] for x in parts])
+        del parts, count
         p, changed = grown(done, before, sym, seen, p)
         out, at = [], 0
         for r, n in zip(rows, sizes):
@@ -365,9 +380,9 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     size = base.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     ranges = max(8, -(-size // RANGE_BYTES))
-    parts = chunked(base, ranges)
-    chunks = parts.where("bucket = -1").select("chunk", "ids", "payload")
-    vocab = numbered(parts.where("bucket >= 0").select("bucket", "chunk", "payload"), ranges)
+    chunks, wanted, folder = chunked(base, ranges)
+    vocab = numbered(wanted, ranges)
+    shared.removed(spark, folder)
     n, v, most = vocab.agg(*[F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "tokens"), (F.sum, "types"), (F.max, "most"))]).first()
     total, limit, buckets, states = n + v + 1, max(LEAST_HOT, n >> HOT_BITS), max(8, -(-n // BUCKET_TOKENS)), []
     names = ("bucket", "chunk", "round", "payload")
@@ -393,13 +408,17 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     for depth in range(1, DEPTH + 1):
         if most <= limit:  # no context of that length is hot
             break
+        shared.released(spark)
         got = shared.written(asked(depth).groupBy("bucket").applyInArrow(answer_hot, ASKED), f"round{depth}")
         state, most = hot_states(got)
         states.append(state)
         answers = answers.union(got.where("chunk >= 0"))
+    shared.released(spark)
     got = shared.written(asked(MAIN).groupBy("bucket").applyInArrow(answer_main(total), ASKED), "tree")
     answers, model = answers.union(got), spark.sparkContext.broadcast((total, limit, buckets, states))
 
+    shared.released(spark)
+
     def score(t: pa.Table, found: pa.Table) -> pa.Table:
         c, by_round = opened(t, found, model)
         c.finish(by_round.get(MAIN, []))
@@ -408,7 +427,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         return pa.table({"id": ids, "held_out": pa.array(~c.train), "n_tokens": pa.array(np.diff(c.off), pa.int64()), "n_known": add((c.count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), n, np.int64)), "base_score": add(np.log10((c.count + 1) / total)), "score": add(np.log10(c.p))})
 
     kind = base.schema["id"].dataType.simpleString()
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    out = chunks.groupBy("chunk").cogroup(answers.select("chunk", "bucket", "round", "payload").groupBy("chunk")).applyInArrow(score, f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -27,6 +27,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes the folder of a written table that no later step reads."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Lets go of the shuffles of finished steps: Spark deletes those whose plans the driver's collector finds unused."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def importable(spark: SparkSession) -> None:
     """Python workers started for this session find this package, where they see the driver's folders."""
     root = str(Path(__file__).resolve().parents[2])

@@ -62,3 +62,10 @@ def test_words_with_zero_bytes_and_of_all_lengths():
     own = ["x" * n + tail for n in range(300) for tail in ("", "\0", "\0\0", "y")]
     w = words.scan(pa.array([" ".join(x for x in own if x)]))
     assert len(set(w.hash.tolist())) == len(own) - 1 == len(w.hash)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 2**16 - 1), st.floats(0, 1, width=32)), max_size=30))
+def test_packing_of_columns(rows):
+    cols = [np.array([r[k] for r in rows], kind) for k, kind in enumerate((np.uint64, np.uint16, np.float32))] + [np.arange(len(rows), dtype=np.uint8)]
+    assert all(a.dtype == b.dtype and (a == b).all() for a, b in zip(cols, packed.unpack_columns(packed.pack_columns(*cols)), strict=True))
