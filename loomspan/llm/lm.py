@@ -13,11 +13,11 @@ word hashes count and number the words. Then every position's context and symbol
 nearest word before it, which holds the whole subtree under that word: it counts, tests and scores all depths, and answers
 with the probabilities that differ from the root's. Equal positions of a chunk are asked for once.
 
-A hot word, one with more than one token in 2**HOT_BITS and LEAST_HOT, would overload its bucket. Its pairs with a symbol are
-dealt by word and symbol and counted there; only the word's sums, at most 2**HOT_BITS rows, are broadcast. Its positions
-then go, with their probability so far, to the bucket of the nearest two words; where these are hot together, the same is done
-with two and with three words. So no bucket gets a group larger than that bound, and the bound changes where contexts are
-counted, not the model.
+A hot word, one with more than a bucket's tokens or one in 2**SHARE_BITS of all, would overload its bucket. Its pairs with a
+symbol are dealt by word and symbol and counted there; only the word's sums are broadcast, at most 2**HOT_BITS rows. Its
+positions then go, with their probability so far, to the bucket of the nearest two words; where these are hot together, the
+same is done with two and with three words. So no bucket gets a group larger than that bound, and the bound changes where
+contexts are counted, not the model. Each such round opens all chunks once more.
 """
 
 from __future__ import annotations
@@ -40,7 +40,8 @@ ROOT_TOKENS = 2.0
 #: Nats that a context's own counts must save over those of its longest retained proper suffix.
 THRESHOLD = 3.0
 HOT_BITS = 20
-LEAST_HOT = 1 << 18
+SHARE_BITS = 7
+LEAST_HOT = 1 << 16
 #: Bytes of text in a chunk (a longer text is one of its own), and in a range of the vocabulary; positions in a bucket.
 CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 64 << 20
@@ -51,6 +52,11 @@ MAIN = DEPTH + 1
 ASKED = "bucket int, chunk long, round int, payload binary"
 
 
+def hot_limit(n: int) -> int:
+    """Contexts with more of n training tokens are hot."""
+    return max(LEAST_HOT, min(n >> SHARE_BITS, BUCKET_TOKENS), n >> HOT_BITS)
+
+
 def tokens(texts) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of each text, its end included, and the texts' ranges."""
     w = words.scan(texts, lower=True)
@@ -384,7 +390,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     vocab = numbered(wanted, ranges)
     shared.removed(spark, folder)
     n, v, most = vocab.agg(*[F.coalesce(f(c), F.lit(0)) for f, c in ((F.sum, "tokens"), (F.sum, "types"), (F.max, "most"))]).first()
-    total, limit, buckets, states = n + v + 1, max(LEAST_HOT, n >> HOT_BITS), max(8, -(-n // BUCKET_TOKENS)), []
+    total, limit, buckets, states = n + v + 1, hot_limit(n), max(8, -(-n // BUCKET_TOKENS)), []
     names = ("bucket", "chunk", "round", "payload")
     answers = vocab.where("chunk >= 0").select(*names)
 

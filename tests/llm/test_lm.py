@@ -103,7 +103,7 @@ def test_hot_contexts_score_like_others(make, corpus, monkeypatch):
     """Where contexts are counted depends on how frequent they are; the scores don't."""
     rows = frequent(corpus)
     plain = sorted((str(r["doc_id"]), r["score"]) for r in scored(make, rows))
-    for name, size in (("LEAST_HOT", 8), ("LEAST_HOT", 1500), ("CHUNK_BYTES", 2000), ("BUCKET_TOKENS", 50), ("RANGE_BYTES", 1000)):
+    for name, size in (("hot_limit", lambda _: 8), ("hot_limit", lambda _: 1500), ("CHUNK_BYTES", 2000), ("BUCKET_TOKENS", 50), ("RANGE_BYTES", 1000)):
         monkeypatch.setattr(lm, name, size)
         other = sorted((str(r["doc_id"]), r["score"]) for r in scored(make, rows))
         assert [i for i, _ in plain] == [i for i, _ in other]
@@ -141,13 +141,13 @@ def brute_scores(rows):
     return scores, [len(k) for k in kept[1:]], root
 
 
-@pytest.mark.parametrize("hot", [lm.LEAST_HOT, 8])
+@pytest.mark.parametrize("hot", [2**20, 8])
 def test_scores_against_a_brute_force_tree(make, corpus, monkeypatch, hot):
     """Frequent words alone are states, and contexts of two and three words are retained; all of them hot, or none."""
     rows = frequent(corpus)
     want, kept, root = brute_scores(rows)
     assert all(kept) and max(root.values()) >= 1024
-    monkeypatch.setattr(lm, "LEAST_HOT", hot)
+    monkeypatch.setattr(lm, "hot_limit", lambda _: hot)
     got = [(r["doc_id"], round(r["score"], 5)) for r in scored(make, rows)]
     for (i, a), (j, b) in zip(sorted(want, key=str), sorted(got, key=str), strict=True):
         assert i == j and abs(a - b) < 1e-3
@@ -169,3 +169,8 @@ def test_repeated_rows_and_extra_columns(make):
     got = lm.score_texts(df, F.lit(True)).collect()
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
     assert len({(r["n_tokens"], r["score"]) for r in got if r["doc_id"] == "a"}) == 1
+
+
+def test_the_bound_of_hot_contexts():
+    """It follows the corpus, then a bucket, then what may be broadcast."""
+    assert [lm.hot_limit(n) for n in (0, 1 << 24, 1 << 27, 1 << 36, 1 << 44)] == [1 << 16, 1 << 17, 1 << 20, 1 << 20, 1 << 24]
