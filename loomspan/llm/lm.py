@@ -11,7 +11,8 @@ to each count, as the unigram base does, so all are proper distributions over th
 Texts are read once. Slices of bounded size become chunks: their distinct words and each token's place among these. Ranges of
 word hashes count and number the words. Then every position's context and symbol, as word numbers, go to the bucket of the
 nearest word before it, which holds the whole subtree under that word: it counts, tests and scores all depths, and answers
-with the probabilities that differ from the root's. Equal positions of a chunk are asked for once.
+with the probabilities that differ from the root's. Equal positions of a chunk are asked for once. The buckets are asked in
+waves, each after the shuffles of the one before are let go.
 
 A hot word, one with more than a bucket's tokens or one in 2**SHARE_BITS of all, would overload its bucket. Its pairs with a
 symbol are dealt by word and symbol and counted there; only the word's sums are broadcast, at most 2**HOT_BITS rows. Its
@@ -46,6 +47,8 @@ LEAST_HOT = 1 << 16
 CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 64 << 20
 BUCKET_TOKENS = 1 << 20
+#: Parts in which the buckets are asked, so that only one part's requests are on disk.
+WAVES = 2
 END = U(0x6A09E667F3BCC909)
 MAIN = DEPTH + 1
 
@@ -255,13 +258,15 @@ class Chunk:
                 out.append((i, chunk, depth, packed.frame(packed.pack_sorted(pairs[a:z]), packed.pack(seen[a:z].astype(np.uint32)), packed.pack(p[a:z]), packed.pack(names), packed.pack(index.astype(np.uint32)))))
         return out
 
-    def open_positions(self):
-        """Positions that go to the buckets: the first of each distinct one, each position's place among these, training counts, and the buckets' edges."""
+    def open_positions(self, wave: int):
+        """Positions that go to a wave's buckets: the first of each distinct one, each position's place among these, training counts, and the buckets' edges."""
         at = np.flatnonzero(self.live & (self.place > self.done) & (self.done < DEPTH))
         back = [self.word(at, k) for k in range(1, DEPTH + 1)]
         done = self.done[at]
         key = chain([np.where(done >= k, np.append(self.numbers, U(0))[b - 1], U(0)) for k, b in enumerate(back)])  # the nearest done + 1 words
         bucket = (key >> U(32)) * U(self.buckets) >> U(32)
+        own = bucket % U(WAVES) == wave
+        at, bucket, back = at[own], bucket[own], [b[own] for b in back]
         one = bucket.astype(np.int64) << 42 | back[0] << 21 | back[1]
         two = back[2] << 21 | self.local[at]
         if len(self.numbers) >= 1 << 21 or self.buckets >= 1 << 21:  # a text of that many different words, or so many buckets, is sorted by five keys
@@ -278,8 +283,8 @@ class Chunk:
         edges = np.searchsorted(bucket[first], np.arange(self.buckets + 1, dtype=U))
         return at, first, into, seen, edges
 
-    def ask_main(self, chunk: int) -> list[tuple]:
-        at, first, _, seen, edges = self.open_positions()
+    def ask_main(self, chunk: int, wave: int) -> list[tuple]:
+        at, first, _, seen, edges = self.open_positions(wave)
         at = at[first]
         numbers = np.append(self.numbers, U(0))
         cols = [numbers[self.word(at, k) - 1] for k in range(1, DEPTH + 1)]
@@ -296,14 +301,14 @@ class Chunk:
                     packed.pack_columns(small(np.diff(self.numbers[symbols], prepend=U(0))), small(count.astype(U))),
                     packed.pack_columns(self.p[own[done > 0]].astype(np.float32)),
                 )
-                out.append((i, chunk, MAIN, tell))
+                out.append((i, chunk, MAIN + wave, tell))
         return out
 
-    def finish(self, answers: list[bytes]) -> None:
-        """Takes the probabilities of the buckets."""
+    def finish(self, answers: list[bytes], wave: int) -> None:
+        """Takes the probabilities of a wave's buckets."""
         if not answers:
             return
-        at, first, into, _, _ = self.open_positions()
+        at, first, into, _, _ = self.open_positions(wave)
         p, there = np.zeros(len(first)), []
         for x in answers:
             size, bits, _ = packed.unframe(x)
@@ -403,7 +408,7 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
     def asker(depth: int, model):
         def ask(t: pa.Table, found: pa.Table) -> pa.Table:
             chunk, at = opened(t, found, model)[0], t["chunk"][0].as_py()
-            return rows_of(chunk.ask_main(at) if depth == MAIN else chunk.ask_hot(depth, at))
+            return rows_of(chunk.ask_main(at, depth - MAIN) if depth >= MAIN else chunk.ask_hot(depth, at))
 
         return ask
 
@@ -419,15 +424,18 @@ def score_texts(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col
         state, most = hot_states(got)
         states.append(state)
         answers = answers.union(got.where("chunk >= 0"))
-    shared.released(spark)
-    got = shared.written(asked(MAIN).groupBy("bucket").applyInArrow(answer_main(total), ASKED), "tree")
-    answers, model = answers.union(got), spark.sparkContext.broadcast((total, limit, buckets, states))
-
+    known = answers
+    for wave in range(WAVES):
+        shared.released(spark)
+        got = shared.written(asked(MAIN + wave).groupBy("bucket").applyInArrow(answer_main(total), ASKED), f"tree{wave}")
+        known = known.union(got)
+    answers, model = known, spark.sparkContext.broadcast((total, limit, buckets, states))
     shared.released(spark)
 
     def score(t: pa.Table, found: pa.Table) -> pa.Table:
         c, by_round = opened(t, found, model)
-        c.finish(by_round.get(MAIN, []))
+        for wave in range(WAVES):
+            c.finish(by_round.get(MAIN + wave, []), wave)
         add = lambda x: pa.array(np.add.reduceat(x, c.off[:-1]))  # noqa: E731  every text has a token, its end
         ids = t["ids"].combine_chunks().flatten()
         return pa.table({"id": ids, "held_out": pa.array(~c.train), "n_tokens": pa.array(np.diff(c.off), pa.int64()), "n_known": add((c.count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(ids), n, np.int64)), "base_score": add(np.log10((c.count + 1) / total)), "score": add(np.log10(c.p))})
