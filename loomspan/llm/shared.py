@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -34,7 +36,13 @@ def removed(spark: SparkSession, folder: str) -> None:
 
 
 def released(spark: SparkSession) -> None:
-    """Lets go of the shuffles of finished steps: Spark deletes those whose plans the driver's collector finds unused."""
+    """Lets go of the shuffles of finished steps: Spark deletes those whose plans the driver's collector finds unused.
+
+    The last step's plan is found unused only once what it referred to is, in a second collection a little later.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)
     spark.sparkContext._jvm.System.gc()
 
 
