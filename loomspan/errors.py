@@ -71,3 +71,7 @@ class TooManyWatches(LoomError):
 
 class StrictScopeUnavailable(LoomError):
     """A coordinated scope has no authority to decide."""
+
+
+class MissingSharedFolder(LoomError):
+    """A cluster's session names no folder that all executors share."""

@@ -9,11 +9,15 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomspan.errors import MissingSharedFolder
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`; where it is unset, as in local tests, a temporary one."""
+    """The folder of `spark.checkpoint.dir`; where it is unset, as in local tests, a temporary one. A cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise MissingSharedFolder("spark.checkpoint.dir must name a folder that all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='loomspan-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
