@@ -69,9 +69,9 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10, id_col: str
 
     Null, empty and wordless texts have no words and no hits, and such items no windows. Repeated documents are each
     judged alike; repeated items, or items that share windows, are each reported by id, null ids are not. Empty tables
-    give no hits. Other columns are ignored. row_key is a hash of id and text.
+    give no hits. Other columns are ignored. row_key is a 128-bit hash of id and text.
     """
-    base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("row_key", F.xxhash64("id", "text"))
+    base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("row_key", shared.row_key("id", "text"))
     windows = item_windows(items, size, item_id, item_text)
     found = shared.written(hits(base, windows.select("win", "len").distinct()), "hits")
     spans = found.groupBy("row_key").agg(F.collect_set(F.struct("start", "len")).alias("spans"))

@@ -153,14 +153,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
 
     Words are `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; a text of fewer words is one shingle. Returns one row per document:
     id, `class_id` (the least id of its group, the connected component of the links), `n_links` (number of other
-    documents it is linked to, copies counted each), `row_key`, a hash of id and text, and `class_key`, the row_key of the
+    documents it is linked to, copies counted each), `row_key`, a 128-bit hash of id and text, and `class_key`, the row_key of the
     group's first document, the one with the least id.
 
     A text without words (null, empty, blank) is linked to nothing and its class is its own id. Repeated rows are linked
     to each other. Null ids are kept and make a class only among themselves. An empty table gives an empty result.
     """
     depth = depth_for(similarity)
-    base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("row_key", F.xxhash64("id", "text"))
+    base = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).withColumn("row_key", shared.row_key("id", "text"))
     kind = base.schema["id"].dataType.simpleString()
 
     def sign(batches):
@@ -171,7 +171,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8, id_
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * TREES, pa.int32()), pa.array(sig.reshape(-1).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b["id"], b["row_key"], pa.array(n, pa.int32()), pa.array(classes(h, off).view(np.int64)), lists], ["id", "row_key", "n", "v", "sig"])
 
-    signed = shared.written(base.mapInArrow(sign, f"id {kind}, row_key long, n int, v long, sig array<long>"), "signed")
+    signed = shared.written(base.mapInArrow(sign, f"id {kind}, row_key binary, n int, v long, sig array<long>"), "signed")
     full = signed.where("n > 0")
     reps = shared.written(full.groupBy("v").agg(F.count("*").alias("copies"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row_key")).alias("least"), F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
     nodes = reps.select("v", F.explode("sig").alias("p"))

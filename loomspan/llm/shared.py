@@ -1,32 +1,14 @@
-"""Folders that all executors share, and written tables that cut lineage."""
+"""What the operators share: written tables that cut lineage, their removal, keys of rows."""
 
 from __future__ import annotations
 
 import gc
-import os
-import tempfile
 import time
-import uuid
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; where none is set, as in local tests, a temporary one becomes it."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='loomspan-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written once as Parquet in the shared folder and read back: later stages survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from loomspan.sources.tables import importable, shared_dir, written  # noqa: F401  operators take them from here
 
 
 def removed(spark: SparkSession, folder: str) -> None:
@@ -46,13 +28,17 @@ def released(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def importable(spark: SparkSession) -> None:
-    """Python workers started for this session find this package, where they see the driver's folders."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+def row_key(*columns) -> Column:
+    """128 bits that tell rows apart by the given columns: two hashes with different seeds, as bytes."""
+    halves = (F.xxhash64(*columns), F.xxhash64(F.lit(1), *columns))
+    return F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in halves])
+
+
+def spare_name(df: DataFrame, name: str) -> str:
+    """`name`, or what it becomes by underscores until `df` has no such column."""
+    while name in df.columns:
+        name = f"{name}_"
+    return name
 
 
 def texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

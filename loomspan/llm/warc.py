@@ -122,12 +122,20 @@ def parse(content: bytes):
         while (end := buffer.find(b"\r\n\r\n")) < 0:
             if not fill(len(buffer) + 1):
                 return
+        if not buffer.startswith(b"WARC/"):  # behind a record of unknown length: on to the next version line
+            at = buffer.find(b"\r\nWARC/", 0, end + 9)
+            del buffer[: at + 2 if at >= 0 else end + 2]
+            continue
         lines = bytes(buffer[:end]).decode("utf-8", "replace").split("\r\n")
         headers: dict[str, list[str]] = {}
         for line in lines[1:]:
             name, _, value = line.partition(":")
             headers.setdefault(name.strip().lower(), []).append(value.strip())
-        size = int(headers.get("content-length", ["0"])[0])
+        length = headers.get("content-length", [""])[0]
+        if not (length.isascii() and length.isdigit()):
+            del buffer[: end + 4]
+            continue
+        size = int(length)
         if not fill(end + 4 + size):
             return
         block = bytes(buffer[end + 4 : end + 4 + size])
@@ -157,7 +165,11 @@ def _row(headers: dict[str, list[str]], block: bytes, payloads: bool) -> dict:
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """All records of a directory of archives. Without `payloads` those of requests and responses are only measured and digested."""
+    """All records of a directory of archives, whatever the files' names; only names that start with `_` or `.` are not read.
+
+    Without `payloads` those of requests and responses are only measured and digested. A record without a length, or with
+    one that is no number, is left out and reading goes on at the next version line.
+    """
     kinds = pa.schema([(n, {"string": pa.string(), "long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string())}[k]) for n, k in (f.split(" ") for f in RECORD.split(", "))])
 
     def records(batches):
@@ -173,7 +185,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, kinds)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").load(path)
     return files.select("content").mapInArrow(records, RECORD)
 
 

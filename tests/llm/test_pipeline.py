@@ -14,7 +14,7 @@ from . import test_substring as substring_tests
 from .conftest import prose
 
 STAGES = dict(corpus_pipeline.STAGES)
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "__extra", "row_key", "kept", "n_words", "good"]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "__extra", "row_key", "kept", "n_words", "good", "__row_key"]
 
 
 @pytest.fixture(scope="module")
@@ -23,7 +23,7 @@ def tables(spark, corpus, tmp_path_factory):
     rnd = random.Random(8)
     rows = [*corpus, *[(i, " ".join(rnd.choice(["idiot", "moron", "clown"]) if k % 5 == 0 else w for k, w in enumerate(prose(rnd, 60).split(" ")))) for i in range(400, 460)]]
     rows += [(i, prose(rnd, 60)) for i in range(500, 640)]
-    docs = spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), 1.5, 7, "k", 3, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __extra double, row_key long, kept string, n_words int, good int")
+    docs = spark.createDataFrame([(i, t, "en", None, None if t is None else len(t), 1.5, 7, "k", 3, None, 4) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, __extra double, row_key long, kept string, n_words int, good int, __row_key int")
     docs.write.parquet(str(sf / "documents.parquet"))
     texts = dict(corpus)
     items = [(1, " ".join(texts[20].split()[:30])), (2, None), (3, " ".join(texts[500 - 380].split()[2:14]))]

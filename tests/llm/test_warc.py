@@ -48,8 +48,10 @@ def test_foreign_archives(spark, tmp_path):
     # the main record names its request; the metadata names the main record; one side record belongs to nothing
     parts = [record("warcinfo", "i"), record("request", "q", b"GET /\r\n\r\n"), record("response", "r", b"HTTP/1.1 200\r\n\r\nbody\r\n\r\nmore", Concurrent_To="<q>"), record("metadata", "m", b"f: 1\r\n", Concurrent_To="<r>"), record("metadata", "lost", b"", Concurrent_To="<none>")]
     (tmp_path / "d").mkdir()
-    (tmp_path / "d" / "part-1.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
-    (tmp_path / "d" / "part-2.warc").write_bytes(parts[2].replace(b"<r>", b"<r2>").replace(b"Concurrent-To: <q>", b"X: y") + parts[1][:40])
+    (tmp_path / "d" / "CC-MAIN-0001.warc.gz").write_bytes(b"".join(gzip.compress(p) for p in parts))
+    bad = record("response", "bad", b"HTTP/1.1 200\r\n\r\nlost").replace(b"Content-Length: 20", b"Content-Length: many")
+    assert b"many" in bad
+    (tmp_path / "d" / "second archive.warc").write_bytes(bad + parts[2].replace(b"<r>", b"<r2>").replace(b"Concurrent-To: <q>", b"X: y") + parts[1][:40])
     got = {r["record_id"]: r for r in warc.assemble(warc.read_warc(spark, str(tmp_path / "d"))).collect()}
     assert set(got) == {"r", "r2"} and bytes(got["r"]["main"]["payload"]) == b"body\r\n\r\nmore"
     assert got["r"]["request"]["record_id"] == "q" and got["r"]["metadata"]["record_id"] == "m" and got["r2"]["request"] is None
