@@ -17,9 +17,9 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document, by id, of each group of near copies; of a repeated row one."""
     shared.importable(spark)
-    key = F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
-    firsts = near.near_duplicates(docs).where("row_key = class_key").select(F.col("row_key").alias("__row_key")).distinct()
-    return docs.withColumn("__row_key", key).join(firsts, "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
+    name, key = shared.spare_name(docs, "__row_key"), shared.row_key(docs["doc_id"], docs["text"].cast("string"))
+    firsts = near.near_duplicates(docs).where("row_key = class_key").select(F.col("row_key").alias(name)).distinct()
+    return docs.withColumn(name, key).join(firsts, name, "left_semi").dropDuplicates([name]).drop(name)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,9 +39,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
     shared.importable(spark)
-    key = F.xxhash64(docs["doc_id"], docs["text"].cast("string"))
+    name, key = shared.spare_name(docs, "__row_key"), shared.row_key(docs["doc_id"], docs["text"].cast("string"))
     found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0")
-    return docs.withColumn("__row_key", key).join(found.select(F.col("row_key").alias("__row_key")).distinct(), "__row_key", "left_anti").drop("__row_key")
+    return docs.withColumn(name, key).join(found.select(F.col("row_key").alias(name)).distinct(), name, "left_anti").drop(name)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
