@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomspan.errors import InvalidSpec, StrictScopeUnavailable, TraversalIntoScalar, TraversalIntoSet
+from loomspan.errors import InvalidSpec, StrictScopeConflict, StrictScopeUnavailable, TraversalIntoScalar, TraversalIntoSet
 from loomspan.functions.scripts import Registry
 from loomspan.operators import fold, records, text, traverse, vector
 from loomspan.operators.graph import Graph
@@ -163,6 +163,8 @@ class Database:
         self.writer = Writer(self.replica_id, self.clock)
         self._records: list[tuple] = []
         self._texts: dict[str, dict] = {}
+        self._requeued: DataFrame | None = None
+        self.proposals: dict[str, dict] = {}
         self._vectors: dict[str, dict] = {}
 
     # graph
@@ -174,8 +176,8 @@ class Database:
 
     def log(self) -> DataFrame:
         """All operations: the log's table and what is pending."""
-        own = self.writer.frame(self.spark)
-        return own if self.log_table is None else self.log_table.unionByName(own)
+        own = self.pending_operations()
+        return (own if self.log_table is None else self.log_table.unionByName(own)).dropDuplicates(["op_id"])
 
     def graph(self) -> Graph:
         fields, members = fold.fold(self.log())
@@ -185,15 +187,25 @@ class Database:
         return self.graph().node_state(node)
 
     def pending_operations(self) -> DataFrame:
-        return self.writer.frame(self.spark)
+        """What was written here or given back, and not drained since."""
+        own = self.writer.frame(self.spark)
+        return own if self._requeued is None else self._requeued.unionByName(own)
 
     def drain_pending_operations(self) -> DataFrame:
         """What is pending, now part of the table."""
-        out = written(self.writer.frame(self.spark), "ops")
+        out = written(self.pending_operations(), "ops")
         self.log_table = out if self.log_table is None else self.log_table.unionByName(out)
         self.writer.ops.clear()
+        self._requeued = None
         return out
 
+    def requeue_operations(self, ops: DataFrame) -> None:
+        """Drained operations that weren't delivered are pending again, each once; the state isn't changed by it."""
+        ops = ops.dropDuplicates(["op_id"])
+        if self._requeued is not None:
+            ops = self._requeued.unionByName(ops.join(self._requeued.select("op_id"), "op_id", "left_anti").select(*self._requeued.columns))
+        self._requeued = written(ops, "requeued")
+
     flush = drain_pending_operations
 
     def apply_operations(self, ops: DataFrame) -> None:
@@ -225,6 +237,33 @@ class Database:
         versions = fold.fold_fields(self.log()).select("node", "field", "version")
         return tx.commit(self.writer, versions)
 
+    def propose(self, tx: Transaction, name: str) -> DataFrame:
+        """The operations of a transaction whose scope another replica decides on: kept aside, not part of the state until accepted."""
+        scope = tx.scope.authority if tx.scope else None
+        free = Transaction(tx.graph, tx.actor, None, tx.steps)
+        ops = written(free.commit(Writer(self.replica_id, self.clock)), "proposal")
+        self.proposals[name] = {"ops": ops, "state": "pending", "authority": scope}
+        return ops
+
+    def provisional(self) -> Graph:
+        """The state as it would be with all pending proposals."""
+        log = self.log()
+        for p in self.proposals.values():
+            if p["state"] == "pending":
+                log = log.unionByName(p["ops"].select(*log.columns))
+        fields, members = fold.fold(log)
+        return Graph(fields.withColumnRenamed("value_kind", "kind"), members)
+
+    def decide(self, name: str, accept: bool, by: str) -> None:
+        """The authority's word on a proposal: accepted, it becomes part of the log; rejected, it is dropped."""
+        held = self.proposals[name]
+        if held["state"] != "pending" or (held["authority"] and held["authority"] != by):
+            raise StrictScopeConflict(f"{by} can't decide on {name}, which is {held['state']}")
+        held["state"] = "accepted" if accept else "rejected"
+        if accept:
+            ops = held["ops"]
+            self.log_table = ops if self.log_table is None else self.log_table.unionByName(ops.select(*self.log_table.columns))
+
     def run_script(self, path: str, name: str, *args, dry_run: bool = False):
         """A script's result; its mutations become one transaction."""
         result, wanted = self.scripts.execute(self.graph(), path, name, *args, dry_run=dry_run)
@@ -266,17 +305,24 @@ class Database:
 
     # text
 
-    def create_text_collection(self, name: str, **config) -> None:
-        self._texts[name] = {"config": text.collection_config(**config), "docs": {}}
+    def create_text_collection(self, name: str, table: DataFrame | None = None, index: str | None = None, **config) -> None:
+        """A collection over a table (id, fields, metadata), if given, and what is put beside it; `index`: folder of its stored postings."""
+        self._texts[name] = {"config": text.collection_config(**config), "docs": {}, "table": table, "index": index}
 
     def put_text_document(self, collection: str, doc_id: str, fields: dict[str, str], **metadata) -> None:
         self._texts[collection]["docs"][doc_id] = (doc_id, fields, json.dumps(metadata))
 
     def delete_text_document(self, collection: str, doc_id: str) -> bool:
-        return self._texts[collection]["docs"].pop(doc_id, None) is not None
+        there = self.get_text_document(collection, doc_id) is not None
+        self._texts[collection]["docs"][doc_id] = None
+        return there
+
+    def get_text_document(self, collection: str, doc_id: str):
+        """The row of a document; None if there is none."""
+        return self.text_documents(collection).where(F.col("id") == doc_id).first()
 
     def text_documents(self, collection: str) -> DataFrame:
-        return self.spark.createDataFrame(list(self._texts[collection]["docs"].values()), "id string, fields map<string,string>, metadata string")
+        return _beside(self.spark, self._texts[collection]["table"], self._texts[collection]["docs"], "id string, fields map<string,string>, metadata string")
 
     def text_search(self, source: str | dict, query: str, spec: dict | None = None) -> DataFrame:
         """Searches a collection (its name or kind), the entries of a graph query, or the records of a scan."""
@@ -284,7 +330,8 @@ class Database:
             source = {"kind": "collection", "collection": source}
         if source["kind"] == "collection":
             held = self._texts[source["collection"]]
-            return text.search(self.text_documents(source["collection"]), query, spec, held["config"])
+            docs = self.text_documents(source["collection"])
+            return text.search(docs, query, spec, held["config"]) if held["index"] is None else text.search_stored(docs, held["index"], query, spec, held["config"])
         if source["kind"] == "query":
             wanted = specs.query(source.get("spec"))
             rows, cut = self.graph().query(source["path"], wanted), wanted["limit"] is not None or bool(wanted["offset"]) or bool(wanted["order"])
@@ -302,10 +349,11 @@ class Database:
 
     # vectors
 
-    def create_vector_collection(self, name: str, dim: int, metric: str = "l2") -> None:
+    def create_vector_collection(self, name: str, dim: int, metric: str = "l2", table: DataFrame | None = None) -> None:
+        """A collection over a table (id, embedding, metadata map), if given, and what is put beside it."""
         if dim < 1 or metric not in vector.METRICS:
             raise InvalidSpec(f"{dim}, {metric}")
-        self._vectors[name] = {"dim": dim, "metric": metric, "items": {}, "deleted": 0}
+        self._vectors[name] = {"dim": dim, "metric": metric, "items": {}, "table": table, "deleted": 0}
 
     def put_vector(self, collection: str, item: str, values: list[float], **metadata) -> None:
         held = self._vectors[collection]
@@ -313,20 +361,35 @@ class Database:
 
     def delete_vector(self, collection: str, item: str) -> bool:
         held = self._vectors[collection]
-        gone = held["items"].pop(item, None) is not None
+        gone = self.get_vector(collection, item) is not None
+        held["items"][item] = None
         held["deleted"] += gone
         return gone
 
+    def get_vector(self, collection: str, item: str):
+        """The row of a vector; None if there is none."""
+        return self.vectors(collection).where(F.col("id") == item).first()
+
     def vectors(self, collection: str) -> DataFrame:
-        return self.spark.createDataFrame(list(self._vectors[collection]["items"].values()), "id string, embedding array<double>, metadata map<string,string>")
+        return _beside(self.spark, self._vectors[collection]["table"], self._vectors[collection]["items"], "id string, embedding array<double>, metadata map<string,string>")
 
     def search_vectors(self, collection: str, query: list[float], spec: dict) -> DataFrame:
         held = self._vectors[collection]
         rows = self.vectors(collection)
-        names = sorted({k for _, _, m in held["items"].values() for k in m})
+        tests = ((spec.get("filter") or {}).get("metadata")) or {}
+        names = sorted({k for t in ("eq", "prefix") for k in (tests.get(t) or {})} | set(tests.get("exists") or []))
         rows = rows.withColumns({f"meta_{k}": F.col("metadata")[k] for k in names})
-        return vector.search(rows, query, spec, held["metric"], metadata={k: f"meta_{k}" for k in names}, dim=held["dim"])
+        return vector.search(rows, query, spec, held["metric"], metadata={k: f"meta_{k}" for k in names} | ({"metadata": "metadata"} if spec.get("includeMetadata") else {}), dim=held["dim"])
 
     def vector_index_stats(self, collection: str) -> DataFrame:
         held = self._vectors[collection]
-        return self.spark.createDataFrame([(len(held["items"]), held["deleted"], 0)], "vectors long, deleted long, incomplete long")
+        return self.vectors(collection).agg(F.count("*").alias("vectors"), F.lit(held["deleted"]).cast("long").alias("deleted"), F.lit(0).cast("long").alias("incomplete"))
+
+
+def _beside(spark: SparkSession, table: DataFrame | None, changed: dict[str, tuple | None], schema: str) -> DataFrame:
+    """A table with the rows that were put since; ids that are None are deleted."""
+    own = spark.createDataFrame([row for row in changed.values() if row is not None], schema)
+    if table is None:
+        return own
+    ids = spark.createDataFrame([(i,) for i in changed], "id string")
+    return table.select(*own.columns).join(ids, "id", "left_anti").unionByName(own)

@@ -75,3 +75,7 @@ class StrictScopeUnavailable(LoomError):
 
 class MissingSharedFolder(LoomError):
     """A cluster's session names no folder that all executors share."""
+
+
+class StaleIndex(LoomError):
+    """A stored index doesn't match its source, and the policy refuses it."""

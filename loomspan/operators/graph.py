@@ -149,7 +149,8 @@ class Graph:
         """(key, value) of the entries at a path that pass the filters, ordered and paged; values are materialised after the page is cut."""
         spec = specs.query(spec)
         walk = _Walk(self, self.entries(path), max_depth)
-        condition = predicates.conjunction(spec["filters"], walk.value)
+        whole = {f["path"] for f in spec["filters"] if isinstance(f.get("value"), (dict, list))}
+        condition = predicates.conjunction(spec["filters"], lambda p: walk.value(p, p in whole))
         by, descending = F.lit(None), False
         if spec["order"]:
             by, descending = walk.value(spec["order"]["path"]).v, spec["order"].get("direction", "asc") == "desc"
@@ -194,9 +195,8 @@ class Graph:
             sets = sets.select(F.concat("up", F.array("member")).alias("keys"), F.col("member").alias("key"), F.lit("link").alias("kind"), F.col("member").alias("value"), F.lit(None).cast("string").alias("owner"))
             level = below.unionByName(sets).where(inside(F.col("key")))
             found = found.unionByName(level)
-        found = found.orderBy(F.desc("keys") if spec["reverse"] else F.asc("keys"))
-        if spec["limit"] is not None:
-            found = found.limit(spec["limit"])
+        order = F.desc("keys") if spec["reverse"] else F.asc("keys")
+        found = found.orderBy(order) if spec["limit"] is None else predicates.paged(found, [order], 0, spec["limit"])
         return found.select(F.array_join("keys", ".").alias("path"), "key", "kind", "value")
 
     # edges
@@ -217,12 +217,10 @@ class Graph:
             starts = self.spark.createDataFrame([], "node string, ordinal long")
 
         def resolve(rows: DataFrame, filters: list[dict]):
-            out = rows
-            for i, f in enumerate({f["path"] for f in filters}):
-                own = self.fields.where(F.col("field") == f).select("node", F.when(F.col("kind") == "scalar", F.col("value")).otherwise(_marked("$link", "value")).alias(f"__f{i}_{f}"))
-                out = out.join(own, "node", "left")
-            names = {c.split("_", 3)[3]: c for c in out.columns if c.startswith("__f")}
-            return out, lambda path: JsonText(F.col(names[path]))
+            """Filters see the node's shallow value: dotted paths lead into it, sets and links are objects, `$id` is the node."""
+            own = self.shallow(rows.select("node")).withColumnRenamed("value", "__shallow")
+            out = rows.join(own, "node", "left").withColumn("__shallow", F.try_parse_json("__shallow"))
+            return out, lambda path: JsonText(F.to_json(F.try_variant_get("__shallow", _variant_path(path), "variant")))
 
         result = traverse.traverse(starts, self.edges(), self.nodes, spec, resolve)
         if specs.traversal(spec)["includeValues"]:
@@ -277,6 +275,12 @@ def _marked(name: str, column: str) -> Column:
     return F.concat(F.lit(f'{{"{name}":'), _quoted(F.col(column)), F.lit("}"))
 
 
+def _variant_path(path: str) -> str:
+    """A dotted path into a JSON value; whole numbers index arrays."""
+    quoted = [f"[{s}]" if s.isdigit() else "['" + s.replace("\\", "\\\\").replace("'", "\\'") + "']" for s in path.split(".")]
+    return "$" + "".join(quoted)
+
+
 class _Walk:
     """Entries with the values of paths joined beside them, each prefix once."""
 
@@ -284,7 +288,8 @@ class _Walk:
         self.graph, self.df, self.max_depth = graph, entries, max_depth
         self.made: dict[str, str] = {}
 
-    def value(self, path: str) -> Value:
+    def value(self, path: str, whole: bool = False) -> Value:
+        """The value behind a path. One that ends at a link or a set is materialised only if `whole`, for comparison with objects and lists."""
         if path == "$key":
             return JsonText(_quoted(F.col("key")))
         if path in ("", "$value"):
@@ -303,12 +308,28 @@ class _Walk:
             name = self.made.get(walked)
             if name is None:
                 name = self.made[walked] = f"__p{len(self.made)}"
-                own = self.graph.fields.where(F.col("field") == s).select(F.col("node").alias("__n"), F.struct("kind", "value").alias("__s"))
-                sets = self.graph.members.where(F.col("field") == s).groupBy(F.col("node").alias("__n")).agg(F.struct(F.lit("set").alias("kind"), F.lit(None).cast("string").alias("value")).alias("__s"))
+                own = self.graph.fields.where(F.col("field") == s).select(F.col("node").alias("__n"), F.struct("kind", "value", F.col("node").alias("owner")).alias("__s"))
+                sets = self.graph.members.where(F.col("field") == s).select(F.col("node").alias("__n")).distinct().withColumn("__s", F.struct(F.lit("set").alias("kind"), F.lit(None).cast("string").alias("value"), F.col("__n").alias("owner")))
                 state = own.unionByName(sets.join(own.select("__n"), "__n", "left_anti"))
-                inside = F.when(kind == "scalar", F.struct(F.lit("scalar").alias("kind"), F.to_json(F.try_variant_get(F.try_parse_json(value), f"$.{s}", "variant")).alias("value")))
+                inside = F.when(kind == "scalar", F.struct(F.lit("scalar").alias("kind"), F.to_json(F.try_variant_get(F.try_parse_json(value), _variant_path(s), "variant")).alias("value"), F.lit(None).cast("string").alias("owner")))
                 inside = F.when(inside["value"].isNotNull(), inside)
                 self.df = self.df.join(state, (kind == "link") & (value == F.col("__n")), "left").withColumn(name, F.coalesce("__s", inside)).drop("__n", "__s")
             kind, value = F.col(f"{name}.kind"), F.col(f"{name}.value")
-        whole = F.when(kind == "scalar", value).when(kind == "link", F.concat(F.lit('{"$id":'), _quoted(value), F.lit("}"))).when(kind == "set", F.lit('{"$set":[]}')).when(kind.isNotNull(), _quoted(value))
-        return JsonText(whole)
+        linked, held = F.concat(F.lit('{"$id":'), _quoted(value), F.lit("}")), F.lit('{"$set":[]}')
+        if whole:
+            linked, held = self._materialised(name, segments[-1])
+        marked = F.when(kind == "bytes", F.concat(F.lit('{"$bytes":'), _quoted(value), F.lit("}"))).when(kind == "blob", F.concat(F.lit('{"$blob":'), value, F.lit("}")))
+        return JsonText(F.when(kind == "scalar", value).when(kind == "link", linked).when(kind == "set", held).otherwise(marked))
+
+    def _materialised(self, name: str, field: str) -> tuple[Column, Column]:
+        """Deep values of the links and sets that the state `name` holds, joined beside the entries."""
+        self.df = self.df.withColumn(f"{name}o", F.col(f"{name}.owner"))
+        links = self.df.where(F.col(f"{name}.kind") == "link").select(F.col(f"{name}.value").alias("root"))
+        owners = self.df.where(F.col(f"{name}.kind") == "set").select(F.col(f"{name}o").alias("node")).distinct()
+        members = self.graph.members.where(F.col("field") == field).join(owners, "node", "left_semi")
+        deep = traverse.written(self.graph.materialize(links.unionByName(members.select(F.col("member").alias("root"))).distinct(), self.max_depth), "deep")
+        sets = members.join(deep.withColumnRenamed("root", "member"), "member").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("member", "value"))).alias("m"))
+        sets = sets.select(F.col("node").alias(f"{name}sn"), F.concat(F.lit('{"$set":['), F.array_join(F.transform("m", lambda m: m["value"]), ","), F.lit("]}")).alias(f"{name}s"))
+        deep = deep.select(F.col("root").alias(f"{name}dn"), F.col("value").alias(f"{name}d"))
+        self.df = self.df.join(deep, (F.col(f"{name}.kind") == "link") & (F.col(f"{name}.value") == F.col(f"{name}dn")), "left").join(sets, (F.col(f"{name}.kind") == "set") & (F.col(f"{name}o") == F.col(f"{name}sn")), "left")
+        return F.coalesce(f"{name}d", F.concat(F.lit('{"$ref":'), _quoted(F.col(f"{name}.value")), F.lit("}"))), F.coalesce(f"{name}s", F.lit('{"$set":[]}'))

@@ -8,22 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.errors import InvalidSpec, TransactionConflict
-from loomspan.operators.predicates import key_range
+from loomspan.operators.predicates import key_range, paged
 from loomspan.plans import specs
 
 
 def matching(records: DataFrame, spec: dict | None) -> DataFrame:
     """Rows in the scan's range and beyond its cursor, unordered."""
     spec = specs.filled(spec, specs.RECORD_SCAN)
-    key = records["key"]
-    rows = records.where(key_range(key, spec["prefix"], spec["startAt"], spec["startAfter"], spec["endAt"], spec["endBefore"]))
-    if spec["cursor"] is not None:
-        rows = rows.where(key < spec["cursor"] if spec["reverse"] else key > spec["cursor"])
-    return rows
+    return records.where(_bounds(records["key"], spec))
 
 
 def scan(records: DataFrame, spec: dict | None = None) -> DataFrame:
@@ -31,7 +27,7 @@ def scan(records: DataFrame, spec: dict | None = None) -> DataFrame:
     spec = specs.filled(spec, specs.RECORD_SCAN)
     rows = matching(records, spec)
     order = F.desc("key") if spec["reverse"] else F.asc("key")
-    return rows.orderBy(order) if spec["limit"] is None else rows.orderBy(order).limit(spec["limit"])
+    return rows.orderBy(order) if spec["limit"] is None else paged(rows, [order], 0, spec["limit"])
 
 
 def next_cursor(records: DataFrame, spec: dict) -> str | None:
@@ -39,10 +35,11 @@ def next_cursor(records: DataFrame, spec: dict) -> str | None:
     spec = specs.filled(spec, specs.RECORD_SCAN)
     if spec["limit"] is None:
         return None
-    keys = [r["key"] for r in scan(records.select("key"), spec | {"limit": spec["limit"] + 1}).collect()]
-    if len(keys) <= spec["limit"]:
+    rows = matching(records, spec).select("key")
+    if rows.count() <= spec["limit"]:
         return None
-    return keys[max(spec["limit"] - 1, 0)]
+    order = F.desc("key") if spec["reverse"] else F.asc("key")
+    return paged(rows, [order], max(spec["limit"] - 1, 0), 1).first()["key"]
 
 
 def get(records: DataFrame, key: str) -> DataFrame:
@@ -82,28 +79,62 @@ def _checked(records: DataFrame, preconditions: Iterable[dict]) -> None:
 def apply_batch(records: DataFrame, batch: dict) -> tuple[DataFrame, dict[str, int]]:
     """The table after a batch, all or nothing, and a report of puts, deletes and rows that range deletes met.
 
-    Mutations apply in sequence; what a later one says about a key stands.
+    Mutations apply in sequence; what a later one says about a key stands. The batch is reduced first, to the last word
+    on each of its keys and to ranges: the plan has one filter and one union, however many mutations there are. How many
+    rows the deletes met is counted in one pass over the rows they touch.
     """
     spark = records.sparkSession
     _checked(records, batch.get("preconditions", []))
-    out, report = records, {"puts": 0, "deletes": 0, "range_deletes": 0}
-    for m in batch.get("mutations", []):
-        if m["kind"] == "put":
-            row = spark.createDataFrame([(m["key"], m.get("kind_of", "json"), m.get("value"), m.get("bytes"))], "key string, kind string, json string, bytes binary")
-            out = out.where(F.col("key") != m["key"]).unionByName(row.select(*records.columns))
-            report["puts"] += 1
-        elif m["kind"] == "delete":
-            report["deletes"] += int(not out.where(F.col("key") == m["key"]).isEmpty())
-            out = out.where(F.col("key") != m["key"])
-        elif m["kind"] == "delete_range":
-            gone = matching(out, m["range"])
-            n = gone.count()
-            report["deletes"] += n
-            report["range_deletes"] += n
-            out = out.join(gone.select("key"), "key", "left_anti")
+    mutations = list(batch.get("mutations", []))
+    if bad := [m for m in mutations if m["kind"] not in ("put", "delete", "delete_range")]:
+        raise InvalidSpec(f"not a mutation: {bad[0]}")
+    ranges = [(i, specs.filled(m["range"], specs.RECORD_SCAN)) for i, m in enumerate(mutations) if m["kind"] == "delete_range"]
+    named = sorted({m["key"] for m in mutations if m["kind"] != "delete_range"})
+    # rows of the table that a range meets, but for keys that the batch names: the first range that holds them takes them
+    plain = records.where(~F.col("key").isin(named)) if named else records
+    in_any = F.lit(False)
+    for _, spec in ranges:
+        in_any = in_any | _bounds(F.col("key"), spec)
+    met = plain.where(in_any).count() if ranges else 0
+    report = {"puts": sum(m["kind"] == "put" for m in mutations), "deletes": met, "range_deletes": met}
+    there = {r["key"] for r in records.where(F.col("key").isin(named)).select("key").collect()} if named else set()
+    last: dict[str, dict] = {}
+    for m in mutations:
+        if m["kind"] == "delete_range":
+            spec = specs.filled(m["range"], specs.RECORD_SCAN)
+            hit = [k for k in named if k in there and _holds(k, spec)]
+            report["deletes"] += len(hit)
+            report["range_deletes"] += len(hit)
+            there -= set(hit)
+            for k in hit:
+                last.pop(k, None)
+        elif m["kind"] == "put":
+            there.add(m["key"])
+            last[m["key"]] = m
         else:
-            raise InvalidSpec(f"not a mutation: {m}")
-    return out, report
+            report["deletes"] += m["key"] in there
+            there.discard(m["key"])
+            last.pop(m["key"], None)
+    kept = plain.where(~in_any) if ranges else plain
+    untouched = sorted(there - set(last))
+    rows = [(k, m.get("kind_of", "json"), m.get("value"), m.get("bytes")) for k, m in sorted(last.items())]
+    put = spark.createDataFrame(rows, "key string, kind string, json string, bytes binary").select(*records.columns)
+    return kept.unionByName(records.where(F.col("key").isin(untouched))).unionByName(put), report
+
+
+def _bounds(key: Column, spec: dict) -> Column:
+    """The range of a scan and what lies behind its cursor."""
+    inside = key_range(key, spec["prefix"], spec["startAt"], spec["startAfter"], spec["endAt"], spec["endBefore"])
+    if spec["cursor"] is not None:
+        inside = inside & (key < spec["cursor"] if spec["reverse"] else key > spec["cursor"])
+    return inside
+
+
+def _holds(key: str, spec: dict) -> bool:
+    """The same for one key; strings compare by their UTF-8 bytes."""
+    code = lambda s: s.encode()
+    tests = (("startAt", bytes.__ge__), ("startAfter", bytes.__gt__), ("endAt", bytes.__le__), ("endBefore", bytes.__lt__), ("cursor", bytes.__lt__ if spec["reverse"] else bytes.__gt__))
+    return key.startswith(spec["prefix"] or "") and all(spec[k] is None or test(code(key), code(spec[k])) for k, test in tests)
 
 
 def delete_range(records: DataFrame, spec: dict) -> DataFrame:

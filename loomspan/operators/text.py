@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.errors import InvalidSpec
+from loomspan.operators.predicates import paged
 from loomspan.plans import specs
+from loomspan.sources import indexes
 
 K1, B = 1.2, 0.75
 _BREAK = r"[^\p{IsAlphabetic}\p{N}_]+"
@@ -95,6 +97,11 @@ def scores(docs: DataFrame, query: str, config: dict | None = None, fields: list
     per_doc = per_doc.where("length > 0")
     whole = per_doc.agg(F.count("*").alias("N"), F.avg("length").alias("avg"), *[F.count(F.when(F.col(c) > 0, 1)).alias(f"df{i}") for i, c in enumerate(names)])
     rows = per_doc.where(sum(F.col(c) for c in names) > 0).join(F.broadcast(whole), how="cross")  # the one row of collection statistics
+    return _scored(rows, wanted, config, fields)
+
+
+def _scored(rows: DataFrame, wanted: list[str], config: dict, fields: list[str] | None) -> DataFrame:
+    """Scores from rows (id, length, fields: counts t0, t1, ... by field, N, avg, df0, df1, ...)."""
     k1, b = config["k1"], config["b"]
 
     def part(f: Column, i: int) -> Column:
@@ -115,8 +122,39 @@ def scores(docs: DataFrame, query: str, config: dict | None = None, fields: list
     return rows.withColumn("score", score).where("score > 0").select("id", "score", "hits")
 
 
+def index_tables(config: dict):
+    """What a stored index holds: postings by term, lengths by id, and the collection's one row of statistics."""
+
+    def tables(docs: DataFrame) -> dict[str, tuple[DataFrame, str]]:
+        counted, lengths = postings(docs, config)
+        return {"postings": (counted, "term"), "lengths": (lengths, "id"), "totals": (lengths.agg(F.count("*").alias("N"), F.avg("length").alias("avg")), "N")}
+
+    return tables
+
+
+def search_stored(docs: DataFrame, path: str, query: str, spec: dict | None = None, config: dict | None = None, digits: int | None = None) -> DataFrame:
+    """`search` over the index stored at `path`, which is built if missing; the spec's stalePolicy says what happens if `docs` have changed.
+
+    Only postings of the query's terms are read (sorted by term, so others are skipped) and only lengths of their documents joined.
+    """
+    spec, config = _checked(spec), config or collection_config()
+    table = indexes.opened(docs, path, index_tables(config), spec["stalePolicy"])
+    wanted = terms_of(query, config["lowercase"])
+    if not wanted:
+        return _page(docs, scores(docs, query, config, spec["fields"]), spec, digits)
+    found = table("postings").where(F.col("term").isin(wanted))
+    names = [f"t{i}" for i in range(len(wanted))]
+    counts = [F.coalesce(F.sum(F.when(F.col("term") == w, F.col("tf"))), F.lit(0)).alias(c) for c, w in zip(names, wanted)]
+    per_doc = found.groupBy("id", "field").agg(*counts).groupBy("id").agg(*[F.sum(c).alias(c) for c in names], F.collect_list(F.struct("field", *names)).alias("fields"))
+    whole = per_doc.agg(*[F.count(F.when(F.col(c) > 0, 1)).alias(f"df{i}") for i, c in enumerate(names)])
+    rows = per_doc.join(table("lengths"), "id").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(table("totals")))  # one row each
+    return _page(docs, _scored(rows, wanted, config, spec["fields"]), spec, digits)
+
+
 def _checked(spec: dict | None) -> dict:
     spec = specs.filled(spec, specs.TEXT_SEARCH)
+    if spec["stalePolicy"] not in ("allow", "refresh", "reject"):
+        raise InvalidSpec(f"not a policy: {spec['stalePolicy']}")
     for name in ("limit", "candidateLimit"):
         if spec[name] is not None and spec[name] < 1:
             raise InvalidSpec(f"{name} must be positive")
@@ -129,14 +167,14 @@ def search(docs: DataFrame, query: str, spec: dict | None = None, config: dict |
     `digits` rounds scores before they order matches, so that equal documents tie in any engine.
     """
     spec = _checked(spec)
-    out = scores(docs, query, config, spec["fields"])
+    return _page(docs, scores(docs, query, config, spec["fields"]), spec, digits)
+
+
+def _page(docs: DataFrame, out: DataFrame, spec: dict, digits: int | None) -> DataFrame:
     if digits is not None:
         out = out.withColumn("score", F.round("score", digits))
-    out = out.orderBy(F.desc("score"), "id")
-    if spec["offset"]:
-        out = out.offset(spec["offset"])
-    if spec["limit"] is not None:
-        out = out.limit(spec["limit"])
+    order = [F.desc("score"), F.asc("id")]
+    out = paged(out, order, spec["offset"] or 0, spec["limit"]) if spec["offset"] or spec["limit"] is not None else out.orderBy(*order)
     if spec["explain"]:
         out = out.withColumn("explain", F.concat(F.lit("bm25 over "), F.size("hits").cast("string"), F.lit(" fields")))
     if spec["includeSnippets"] or spec["includeMetadata"]:
@@ -163,12 +201,22 @@ def candidates(rows: DataFrame, spec: dict | None = None, preselected: bool = Fa
     if preselected and spec["candidatePolicy"] != "allow_preselected_candidates":
         raise InvalidSpec("the candidates are a page of a query")
     if spec["candidateLimit"] is not None:
-        rows = rows.orderBy("ordinal").limit(spec["candidateLimit"])
+        rows = paged(rows, [F.asc("ordinal")], 0, spec["candidateLimit"])
     if spec["fields"] is not None:
         rows = rows.withColumn("fields", F.map_filter("fields", lambda k, _: k.isin(list(spec["fields"]))))
     return rows.groupBy("id").agg(F.max_by("fields", "ordinal").alias("fields"), F.min("ordinal").alias("ordinal"))
 
 
+def candidate_counts(rows: DataFrame, spec: dict | None = None) -> DataFrame:
+    """One row about a search over `candidates(rows, spec)`: candidates offered, documents searched, and whether the limit left some out."""
+    spec = _checked(spec)
+    searched = candidates(rows, spec).agg(F.count("*").alias("searched_count"))
+    most = F.lit(spec["candidateLimit"]).cast("long")
+    offered = rows.agg(F.count("*").alias("offered"))
+    cut = F.coalesce(F.col("offered") > most, F.lit(False))
+    return offered.crossJoin(searched).select(F.when(cut, most).otherwise(F.col("offered")).alias("candidate_count"), "searched_count", cut.alias("truncated_candidates"))  # one row each
+
+
 def string_leaves(value: Column, paths: list[str] | None = None) -> Column:
     """Fields map of a JSON text: the string leaves named by dotted path, array places counted; or only selected paths.
 

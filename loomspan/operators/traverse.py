@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.errors import InvalidSpec
-from loomspan.operators.predicates import conjunction
+from loomspan.operators.predicates import conjunction, paged
 from loomspan.plans import specs
 from loomspan.sources.tables import written
 
@@ -56,7 +56,8 @@ def levels(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     `rank` orders the nodes of a depth as the queue pops them: the rank of the parent, then the edge, as an array of
     strings that compares from left to right. So no level has to be numbered.
     """
-    seen = starts.select("node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(None).cast(_VIA).alias("via"), F.array(F.lpad(F.col("ordinal").cast("string"), 19, "0")).alias("rank"))
+    first = F.col("ordinal") if dict(starts.dtypes)["ordinal"] == "string" else F.lpad(F.col("ordinal").cast("string"), 19, "0")
+    seen = starts.select("node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(None).cast(_VIA).alias("via"), F.array(first).alias("rank"))
     seen = written(seen.groupBy("node").agg(F.min_by(F.struct("depth", "path", "via"), "rank").alias("s"), F.min("rank").alias("rank")).select("node", "s.*", "rank"), "level")
     frontier = seen
     for d in range(1, depth + 1):
@@ -74,14 +75,14 @@ def levels(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
 
 
 def traverse(starts: DataFrame, edges: DataFrame, nodes: DataFrame, spec: dict | None = None, resolve=None, max_edges: int = 1_000_000) -> Traversal:
-    """Walks from `starts` (node, or ordinal and node) over `edges`; `nodes` are the known ids.
+    """Walks from `starts` (node, or ordinal and node; without numbers in the nodes' order) over `edges`; `nodes` are the known ids.
 
     resolve(rows, filters) -> (rows, path -> Value) puts the columns that filters need beside the rows' nodes. Filters
     decide what is returned, not what is followed.
     """
     spec = specs.traversal(spec)
     if "ordinal" not in starts.columns:
-        starts = starts.withColumn("ordinal", F.row_number().over(Window.orderBy("node")) - 1)  # starts are named by the caller
+        starts = starts.withColumn("ordinal", F.col("node"))
     ways = oriented(edges, spec).distinct()
     if spec["strategy"] == "dfs":
         seen = depth_first(starts, ways, spec["maxDepth"], max_edges)
@@ -100,8 +101,7 @@ def traverse(starts: DataFrame, edges: DataFrame, nodes: DataFrame, spec: dict |
     rows = rows.select("depth", "rank", "node", "path", "via")
     popped, over = seen, False
     if spec["limit"] is not None:
-        page = rows.orderBy("depth", "rank").limit(spec["limit"] + 1)
-        cut = page.select("depth", "rank").orderBy(F.desc("depth"), F.desc("rank")).limit(1).collect() if page.count() > spec["limit"] else []
+        cut = paged(rows.select("depth", "rank"), [F.asc("depth"), F.asc("rank")], spec["limit"], 1).collect()
         if cut:
             over = True
             before = F.struct("depth", "rank") < F.struct(F.lit(cut[0]["depth"]).cast("int").alias("depth"), _rank(cut[0]["rank"]).alias("rank"))

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomspan.errors import InvalidSpec
+from loomspan.operators.predicates import paged
 from loomspan.plans import specs
+from loomspan.sources import indexes
 
 METRICS = ("l2", "dot", "cosine")
 
@@ -64,12 +66,15 @@ def filtered(vectors: DataFrame, f: dict | None, id_col: str = "id", metadata: d
 def search(vectors: DataFrame, query: list[float], spec: dict, metric: str = "l2", id_col: str = "id", vector_col: str = "embedding", metadata: dict[str, str] | None = None, dim: int | None = None) -> DataFrame:
     """The `limit` nearest rows: id, distance and, if asked, metadata and vector; ties by id.
 
-    The query is a literal, so a scan computes distances and keeps a heap of `limit` rows in each task. Rows of another
-    dimension than the query's, or without a vector, aren't in the collection.
+    The query is a literal, so a scan computes distances and keeps a heap of `limit` rows in each task. Rows without a
+    vector aren't in the collection; a vector of another dimension than the query's is an error as soon as it is read.
     """
     spec = specs.filled(spec, specs.VECTOR_SEARCH)
     q = validated(query, dim, spec["limit"])
-    rows = filtered(vectors, spec["filter"], id_col, metadata).where(F.size(vector_col) == len(q))
+    rows = filtered(vectors, spec["filter"], id_col, metadata).where(F.col(vector_col).isNotNull())
+    own = F.size(vector_col)
+    checked = F.when(own == len(q), F.col(vector_col)).otherwise(F.raise_error(F.concat(F.lit("dimension "), own.cast("string"), F.lit(f", expected {len(q)}"))))
+    rows = rows.withColumn(vector_col, checked)
     literal = F.lit(q) if q else F.array().cast("array<double>")
     norm = F.lit(math.sqrt(sum(x * x for x in q)))
     rows = rows.withColumn("distance", distance(F.col(vector_col).cast("array<double>"), literal, metric, norm))
@@ -78,7 +83,21 @@ def search(vectors: DataFrame, query: list[float], spec: dict, metric: str = "l2
         out += [F.col(c).alias(k) for k, c in (metadata or {}).items()]
     if spec["includeVector"]:
         out.append(F.col(vector_col).alias("vector"))
-    return rows.select(*out).orderBy("distance", "id").limit(spec["limit"])
+    return paged(rows.select(*out), [F.asc("distance"), F.asc("id")], 0, spec["limit"])
+
+
+def index_tables(vectors: DataFrame) -> dict[str, tuple[DataFrame, str]]:
+    """What a stored collection holds: its vectors, range-sorted by id."""
+    return {"vectors": (vectors, "id")}
+
+
+def search_stored(vectors: DataFrame, path: str, query: list[float], spec: dict, metric: str = "l2", metadata: dict[str, str] | None = None, dim: int | None = None) -> DataFrame:
+    """`search` over the vectors (id, embedding, ...) stored at `path`; the spec's stalePolicy says what happens if `vectors` have changed: the source is searched, the stored ones are, or an error."""
+    policy = specs.filled(spec, specs.VECTOR_SEARCH)["stalePolicy"]
+    if policy not in ("fallback_exact", "allow_stale", "error"):
+        raise InvalidSpec(f"not a policy: {policy}")
+    table = indexes.opened(vectors, path, index_tables, policy)
+    return search(vectors if table is None else table("vectors"), query, spec, metric, metadata=metadata, dim=dim)
 
 
 def assemble_chunks(items: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -171,7 +171,7 @@ def watch_records(spark, sf_dir):
 def watch_changes(spark, sf_dir):
     """All change events of a stream, merged."""
     watcher = _watched(spark, sf_dir)
-    events = spark.createDataFrame(watcher.events)
+    events = spark.createDataFrame(list(watcher.events))
     out = watch.merged_events(events)
     return out.select(F.col("revision.millis").alias("micros"), "pending_ops", F.size("touched_paths").cast("long").alias("paths"), "data_changed")
 

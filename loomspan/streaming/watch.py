@@ -6,6 +6,7 @@ watches share one computation, and a result goes out only if its content hash di
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from loomspan.operators import fold
 
 
+#: Results and change events that wait at most.
+KEEP = 64
+
+
 def content_hash(df: DataFrame) -> str:
     """A hash of a result's rows, whatever their order: a sum of row hashes, so nothing is gathered."""
     row = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(F.to_json(F.struct(*sorted(df.columns)))).cast("decimal(38,0)")).alias("h")).first()
@@ -39,12 +44,15 @@ def overlaps(path: str) -> Column:
 
 @dataclass
 class Watch:
-    """compute(log) -> DataFrame; `touched` filters operations that can change the result (None: all); equal keys share."""
+    """compute(log) -> DataFrame; `touched` filters operations that can change the result (None: all); equal keys share.
+
+    Of the results that nobody has taken yet only the newest KEEP are kept.
+    """
 
     key: str
     compute: Callable[[DataFrame], DataFrame]
     touched: Column | None = None
-    results: list[list] = field(default_factory=list)
+    results: deque = field(default_factory=lambda: deque(maxlen=KEEP))
     last: str | None = None
 
 
@@ -53,7 +61,7 @@ class Watcher:
 
     def __init__(self, spark, log_path: str, watches: list[Watch]):
         self.spark, self.log_path, self.watches = spark, log_path, watches
-        self.events: list = []
+        self.events: deque = deque(maxlen=KEEP)
         self.computed = 0
 
     def _emit(self, log: DataFrame, batch: DataFrame | None) -> None:

@@ -67,5 +67,5 @@ def test_watches_emit_only_changes(spark, tmp_path):
     assert one.results == same.results and one.results[-1] == [{"value_kind": "scalar", "value": "3"}]
     assert {r["field"]: r["value"] for r in whole.results[-1]} == {"x": "3", "y": "5"}
     assert len(one.results) <= 3 and len(w.events) == 4
-    merged = watch.merged_events(spark.createDataFrame(w.events)).first()
+    merged = watch.merged_events(spark.createDataFrame(list(w.events))).first()
     assert merged["pending_ops"] == 5 and merged["touched_paths"] == ["n.x", "n.y"] and merged["revision"]["millis"] == 5

@@ -4,9 +4,10 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from loomspan.errors import InvalidSpec
-from loomspan.operators import text, vector
+from loomspan.errors import InvalidSpec, StaleIndex
+from loomspan.operators import predicates, records, text, vector
 
 
 def scorer(docs, query, weights=None, only=None, k1=1.2, b=0.75):
@@ -75,13 +76,16 @@ def test_terms():
 
 
 def test_vectors(spark):
-    rows = [("alpha", [1.0], "keep"), ("beta", [1.0], "keep"), ("far", [5.0], "keep"), ("zero", [0.0], "drop"), ("none", None, "keep"), ("wide", [1.0, 2.0], "keep")]
+    rows = [("alpha", [1.0], "keep"), ("beta", [1.0], "keep"), ("far", [5.0], "keep"), ("zero", [0.0], "drop"), ("none", None, "keep")]
     df = spark.createDataFrame(rows, "id string, embedding array<float>, tag string")
     got = vector.search(df, [0.0], {"limit": 2, "filter": {"ids": ["far", "alpha", "beta"], "metadata": {"eq": {"tag": "keep"}}}}, metadata={"tag": "tag"}).collect()
     assert [(r["id"], r["distance"]) for r in got] == [("alpha", 1.0), ("beta", 1.0)]
     assert [r["id"] for r in vector.search(df, [1.0], {"limit": 9, "filter": {"idPrefix": "z"}}).collect()] == ["zero"]
     assert {r["id"]: r["distance"] for r in vector.search(df, [2.0], {"limit": 9}, "cosine").collect()} == {"alpha": 0.0, "beta": 0.0, "far": 0.0, "zero": 1.0}
     assert vector.search(df, [2.0], {"limit": 1}, "dot").first()["distance"] == -10.0
+    wide = df.unionByName(spark.createDataFrame([("wide", [1.0, 2.0], "keep")], df.schema))
+    with pytest.raises(Exception, match="dimension 2, expected 1"):  # a stored vector of another dimension isn't hidden
+        vector.search(wide, [2.0], {"limit": 9}).collect()
     for bad in (([1.0, 2.0], 1, 1), ([math.inf], 1, 1), ([1.0], 1, 0)):
         with pytest.raises(InvalidSpec):
             vector.validated(*bad)
@@ -93,3 +97,39 @@ def test_vector_chunks(spark):
     got = vector.assemble_chunks(items, chunks)
     assert {r["id"]: (r["state"], r["embedding"]) for r in got.collect()} == {"a": ("complete", [1.0, 2.0, 3.0]), "b": ("incomplete", None), "c": ("deleted", None)}
     assert tuple(vector.stats(got).first()) == (1, 1, 1)
+
+
+def test_pages_of_a_billion_rows(spark):
+    """A limit far beyond the rows allocates nothing by its number."""
+    big = 1_000_000_000
+    rows = spark.range(5000).select(F.format_string("k%05d", "id").alias("key"), F.lit("json").alias("kind"), F.lit("1").alias("json"), F.lit(None).cast("binary").alias("bytes"))
+    assert records.scan(rows, {"limit": big}).count() == 5000 and records.next_cursor(rows, {"limit": big}) is None
+    assert [r["key"] for r in predicates.paged(rows, [F.desc("key")], 4997, big).collect()] == ["k00002", "k00001", "k00000"]
+    assert predicates.paged(rows, [F.asc("key")], big, 5).count() == 0 and predicates.paged(rows, [F.asc("key")], 10).count() == 4990
+    vectors = spark.range(50).select(F.col("id"), F.array(F.col("id").cast("double")).alias("embedding"))
+    assert [r["id"] for r in vector.search(vectors, [0.0], {"limit": big}).collect()] == list(range(50))
+    docs = spark.range(50).select("id", F.create_map(F.lit("text"), F.lit("same word")).alias("fields"))
+    assert [r["id"] for r in text.search(docs, "word", {"limit": big, "offset": 45}).collect()] == [45, 46, 47, 48, 49]
+
+
+def test_pages_beyond_the_heap_are_cut_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(predicates, "TOP_K", 10)
+    rows = spark.range(1000).repartition(7).withColumn("by", F.col("id") % 10)
+    want = sorted(((i % 10, i) for i in range(1000)), key=lambda x: (-x[0], x[1]))
+    for offset, limit in ((0, 500), (95, 20), (990, 50), (5, None), (2000, 3)):
+        got = predicates.paged(rows, [F.desc("by"), F.asc("id")], offset, limit).collect()
+        assert [(r["by"], r["id"]) for r in got] == want[offset : None if limit is None else offset + limit]
+
+
+def test_stored_text_index(spark, tmp_path):
+    """A search of stored postings ranks as one of the documents; each policy sees that the source has changed."""
+    path = str(tmp_path / "index")
+    docs = spark.createDataFrame([(i, {"title": f"word{i % 3} mesh", "body": "routing " * (i % 4)}) for i in range(30)], "id long, fields map<string,string>")
+    config = text.collection_config({"title": 2.0, "body": 1.0})
+    want = [tuple(r) for r in text.search(docs, "mesh routing word1", {"limit": 7}, config).select("id", F.round("score", 9)).collect()]
+    assert [tuple(r) for r in text.search_stored(docs, path, "mesh routing word1", {"limit": 7}, config).select("id", F.round("score", 9)).collect()] == want
+    more = docs.unionByName(spark.createDataFrame([(99, {"title": "word1", "body": "mesh mesh"})], docs.schema))
+    assert 99 not in {r["id"] for r in text.search_stored(more, path, "mesh", {"stalePolicy": "allow"}, config).collect()}
+    with pytest.raises(StaleIndex):
+        text.search_stored(more, path, "mesh", {"stalePolicy": "reject"}, config)
+    assert 99 in {r["id"] for r in text.search_stored(more, path, "mesh", {}, config).collect()}
