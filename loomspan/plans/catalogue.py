@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from loomspan.plans import q_graph, q_search, q_state
+from loomspan.plans import q_graph, q_more, q_search, q_state
 
-_MODULES = (q_graph, q_state, q_search)
+_MODULES = (q_graph, q_state, q_search, q_more)
 
 
 def queries():

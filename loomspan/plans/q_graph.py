@@ -40,8 +40,9 @@ def q_and_many(spark, sf_dir):
 
 
 def q_typed(spark, sf_dir):
-    """A comparison across types matches nothing; equality minds the number's form."""
-    return tables(spark, sf_dir).find("part").where_gt("p_name", 5).run(None, _PART).unionByName(tables(spark, sf_dir).find("part").where_eq("p_size", 10.0).run(None, _PART))
+    """A comparison across types matches nothing; equality minds the number's form: only the last of the three has rows."""
+    find = lambda: tables(spark, sf_dir).find("part")
+    return find().where_gt("p_name", 5).run(None, _PART).unionByName(find().where_eq("p_size", 10.0).run(None, _PART)).unionByName(find().where_eq("p_size", 10).run(None, _PART))
 
 
 def q_order_page(spark, sf_dir):
@@ -119,7 +120,7 @@ def mat_deep(spark, sf_dir):
 
 QUERIES = {
     "q_eq": _filtered("part", "eq", "p_size", 10, _PART), "q_ne": _filtered("orders", "ne", "o_orderstatus", "F", _ORDER), "q_gt": _filtered("orders", "gt", "o_totalprice", 400000, _ORDER),
-    "q_gte": _filtered("part", "gte", "p_retailprice", 1000.0, _PART), "q_lt": _filtered("customer", "lt", "c_acctbal", 0, _CUSTOMER), "q_lte": _filtered("part", "lte", "p_size", 5, _PART),
+    "q_gte": _filtered("part", "gte", "p_retailprice", 950.0, _PART), "q_lt": _filtered("customer", "lt", "c_acctbal", 0, _CUSTOMER), "q_lte": _filtered("part", "lte", "p_size", 5, _PART),
     "q_prefix": _filtered("part", "prefix", "p_name", "small", _PART), "q_contains": _filtered("part", "contains", "p_name", "widget", _PART), "q_exists": _filtered("customer", "exists", "c_acctbal", None, _CUSTOMER),
     "q_and_path1": q_and_path1, "q_and_path2": q_and_path2, "q_and_many": q_and_many, "q_typed": q_typed, "q_order_page": q_order_page, "q_order_desc_ties": q_order_desc_ties,
     "q_order_path": q_order_path, "q_unordered_limit": q_unordered_limit, "q_first": q_first, "q_late_materialize": q_late_materialize, "q_key": q_key,
@@ -130,13 +131,13 @@ QUERIES = {
 _REGION_JSON = """'{"$id":"region/' || r_regionkey || '","name":"' || r_name || '","rank":' || r_regionkey || '}'"""
 
 SQL = {
-    "q_eq": _PART_SQL + "p_size = 10", "q_ne": _ORDER_SQL + "o_orderstatus <> 'F'", "q_gt": _ORDER_SQL + "o_totalprice > 400000", "q_gte": _PART_SQL + "p_retailprice >= 1000.0",
+    "q_eq": _PART_SQL + "p_size = 10", "q_ne": _ORDER_SQL + "o_orderstatus <> 'F'", "q_gt": _ORDER_SQL + "o_totalprice > 400000", "q_gte": _PART_SQL + "p_retailprice >= 950.0",
     "q_lt": _CUSTOMER_SQL + "c_acctbal < 0", "q_lte": _PART_SQL + "p_size <= 5", "q_prefix": _PART_SQL + "starts_with(p_name, 'small')", "q_contains": _PART_SQL + "contains(p_name, 'widget')", "q_exists": _CUSTOMER_SQL + "c_acctbal IS NOT NULL",
     "q_and_path1": _CUSTOMER_SQL.replace("WHERE", "LEFT JOIN nation ON c_nationkey = n_nationkey WHERE") + "n_name = 'NATION_7' AND c_acctbal >= 0",
     "q_and_path2": """SELECT 'customer/' || c_custkey AS key, c_name AS name, c_acctbal AS acctbal, r_name AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey
         LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'AFRICA' AND c_acctbal >= 0 ORDER BY c_name DESC, 'customer/' || c_custkey LIMIT 10""",
     "q_and_many": _PART_SQL + "starts_with(p_type, 'S') AND contains(p_name, 'ring') AND p_size > 10 AND p_size < 40 AND p_brand IS NOT NULL",
-    "q_typed": _PART_SQL + "false",
+    "q_typed": _PART_SQL + "p_size = 10",
     "q_order_page": _ORDER_SQL + "true ORDER BY o_totalprice NULLS FIRST, 'orders/' || o_orderkey LIMIT 50 OFFSET 100",
     "q_order_desc_ties": _PART_SQL + "true ORDER BY p_size DESC NULLS LAST, 'part/' || p_partkey LIMIT 50",
     "q_order_path": """SELECT 'orders/' || o_orderkey AS key, o_orderstatus AS status, o_totalprice AS total, c_acctbal AS acctbal FROM orders LEFT JOIN customer ON o_custkey = c_custkey

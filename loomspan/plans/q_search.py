@@ -200,6 +200,8 @@ SQL = {
     "trav_edge_fields": "SELECT 'nation/' || n_nationkey AS node, 0 AS depth, true AS limited FROM nation ORDER BY 1 LIMIT 10",
     "trav_filter": "SELECT 'nation/' || n_nationkey AS node, 0 AS depth FROM nation WHERE contains(n_name, 'A') UNION ALL SELECT DISTINCT 'region/' || r_regionkey, 1 FROM region JOIN nation ON n_regionkey = r_regionkey WHERE contains(r_name, 'A')",
     "trav_paths": "SELECT 'region/' || n_regionkey AS node, min('nation/' || n_nationkey) || '>region/' || n_regionkey AS path, 'region' AS field FROM nation GROUP BY n_regionkey",
+    "trav_dfs": """WITH n AS (SELECT 'nation/' || n_nationkey AS node, n_regionkey, row_number() OVER (ORDER BY 'nation/' || n_nationkey DESC) - 1 AS pos FROM nation), r AS (SELECT n_regionkey, min(pos) AS pos FROM n GROUP BY n_regionkey)
+        SELECT node, 0 AS depth, pos + (SELECT count(*) FROM r WHERE r.pos < n.pos) AS rank FROM n UNION ALL SELECT 'region/' || n_regionkey, 1, pos + 1 + (SELECT count(*) FROM r o WHERE o.pos < r.pos) FROM r""",
     "closure_root": """SELECT 'orders/' || o_orderkey AS node FROM orders UNION SELECT 'customer/' || o_custkey FROM orders UNION SELECT 'nation/' || c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)
         UNION SELECT 'region/' || n_regionkey FROM nation WHERE n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders))""",
     "text_bm25": _bm25(_DOC_ROWS, _QUERY, _BEST + "10"), "text_bm25_all": _bm25(_DOC_ROWS, _QUERY, ""), "text_bm25_page": _bm25(_DOC_ROWS, _QUERY, _BEST + "10 OFFSET 20"),

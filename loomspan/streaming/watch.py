@@ -46,14 +46,18 @@ def overlaps(path: str) -> Column:
 class Watch:
     """compute(log) -> DataFrame; `touched` filters operations that can change the result (None: all); equal keys share.
 
-    Of the results that nobody has taken yet only the newest KEEP are kept.
+    Of the results that nobody has taken yet only the newest `keep` are kept.
     """
 
     key: str
     compute: Callable[[DataFrame], DataFrame]
     touched: Column | None = None
-    results: deque = field(default_factory=lambda: deque(maxlen=KEEP))
+    results: deque = field(default_factory=deque)
     last: str | None = None
+    keep: int = KEEP
+
+    def __post_init__(self):
+        self.results = deque(self.results, maxlen=self.keep)
 
 
 class Watcher:
@@ -92,10 +96,10 @@ class Watcher:
         return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def field_watch(node: str, name: str) -> Watch:
+def field_watch(node: str, name: str, keep: int = KEEP) -> Watch:
     """The value of one field."""
     compute = lambda log: fold.fold_fields(log.where((F.col("node") == node) & (F.col("field") == name))).select("value_kind", "value")
-    return Watch(f"field:{node}.{name}", compute, overlaps(f"{node}.{name}"))
+    return Watch(f"field:{node}.{name}", compute, overlaps(f"{node}.{name}"), keep=keep)
 
 
 def state_watch(key: str, compute: Callable[[DataFrame, DataFrame], DataFrame], touched: Column | None = None) -> Watch:
