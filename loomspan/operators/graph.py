@@ -9,7 +9,6 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +16,6 @@ from loomspan.errors import TraversalIntoScalar, TraversalIntoSet
 from loomspan.functions.scalar import Json, JsonText, Value
 from loomspan.operators import predicates, traverse
 from loomspan.plans import specs
-from loomspan.sources.tables import importable
 
 FIELDS = "node string, field string, kind string, value string"
 MEMBERS = "node string, field string, member string"
@@ -56,13 +54,12 @@ class Graph:
                 raise TraversalIntoScalar(path)
             if at.kind == "set":
                 raise TraversalIntoSet(path)
-            row = self.fields.where((F.col("node") == at.node) & (F.col("field") == s)).first()
+            own = self.fields.where((F.col("node") == at.node) & (F.col("field") == s)).select("kind", "value")
+            held = self.members.where((F.col("node") == at.node) & (F.col("field") == s)).select(F.lit("set").alias("kind"), F.lit(None).cast("string").alias("value"))
+            row = own.unionByName(held).agg(F.min_by(F.struct("kind", "value"), F.col("kind") == "set").alias("found")).first()["found"]  # one job a segment
             if row is None:
-                held = self.members.where((F.col("node") == at.node) & (F.col("field") == s)).first()
-                if held is None:
-                    return Cursor("absent")
-                at = Cursor("set", at.node, s)
-            elif row["kind"] == "link":
+                return Cursor("absent")
+            if row["kind"] == "link":
                 at = Cursor("node", row["value"])
             elif row["kind"] == "set":
                 at = Cursor("set", at.node, s)
@@ -102,8 +99,7 @@ class Graph:
 
     def shallow(self, nodes: DataFrame) -> DataFrame:
         """(node, value): a JSON object with fields by name; links and members stay links."""
-        text = F.when(F.col("kind") == "scalar", F.col("value")).when(F.col("kind") == "link", _marked("$link", "value")).when(F.col("kind") == "bytes", _marked("$bytes", "value")).when(F.col("kind") == "blob", F.concat(F.lit('{"$blob":'), "value", F.lit("}")))
-        own = self.fields.where("kind <> 'set'").select("node", "field", text.alias("text"))
+        own = self.fields.where("kind <> 'set'").select("node", "field", _text().alias("text"))
         sets = self.members.groupBy("node", "field").agg(F.sort_array(F.collect_list("member")).alias("m"))
         sets = sets.select("node", "field", F.concat(F.lit('{"$set":['), F.array_join(F.transform("m", lambda m: F.concat(F.lit('{"$link":'), _quoted(m), F.lit("}"))), ","), F.lit("]}")).alias("text"))
         rows = nodes.select("node").distinct().join(own.unionByName(sets), "node", "left")
@@ -112,36 +108,51 @@ class Graph:
         head = F.concat(F.lit('"$id":'), _quoted(F.col("node")))
         return made.select("node", F.concat(F.lit("{"), F.array_join(F.concat(F.array(head), F.transform("pairs", lambda p: p["pair"])), ","), F.lit("}")).alias("value"))
 
-    def reachable(self, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-        """Distinct (root, node): all that links and members reach from each root, within `max_depth` steps."""
-        edges = self.edges().select(F.col("source").alias("node"), "target").distinct()
-        seen = traverse.written(roots.select("root", F.col("root").alias("node")).distinct(), "reach")
-        frontier, depth = seen, 0
-        while max_depth is None or depth < max_depth:
-            depth += 1
-            step = frontier.join(edges, "node").select("root", F.col("target").alias("node")).distinct()
-            frontier = traverse.written(step.join(seen, ["root", "node"], "left_anti"), "reach")
-            if frontier.isEmpty():
-                break
-            seen = seen.unionByName(frontier)
-        return seen  # one table a level
-
     def materialize(self, roots: DataFrame, max_depth: int | None = None) -> DataFrame:
-        """(root, value): nested JSON of each root. A node on the current path, an unknown one, or one beyond `max_depth` is {"$ref": id}.
+        """(root, value): nested JSON of each known root. A node on the current path, an unknown one, or one beyond `max_depth` is {"$ref": id}.
 
-        A root's reachable rows form one group: the size of the document that it becomes.
+        The documents' places are found from the top, a level at a time, and their values put together from the bottom, so
+        the rows are those of the documents themselves and no task holds more than it writes. Levels are written unless
+        `max_depth` says that they are few. Scalars stand as they are stored.
         """
-        own = self.fields.unionByName(self.members.select("node", "field", F.lit("member").alias("kind"), F.col("member").alias("value")))
-        known = self.nodes.select("node", F.lit(None).cast("string").alias("field"), F.lit("node").alias("kind"), F.lit(None).cast("string").alias("value"))
-        rows = self.reachable(roots, max_depth).join(own.unionByName(known), "node")
-
-        importable(self.spark)
-
-        def build(group: pd.DataFrame) -> pd.DataFrame:
-            root = group["root"].iloc[0]
-            return pd.DataFrame({"root": [root], "value": [json.dumps(nested(group, root, max_depth), ensure_ascii=False, separators=(",", ":"))]})
-
-        return rows.groupBy("root").applyInPandas(build, "root string, value string")
+        few = max_depth is not None and max_depth <= 2
+        edges = self.edges().select(F.col("source").alias("node"), "field", "target", "kind")
+        known = self.nodes.select(F.col("node").alias("target"), F.lit(True).alias("known"))
+        at = roots.select(F.col("root").alias("node")).distinct().join(self.nodes, "node", "left_semi")
+        places, steps = [at.select(F.array("node").alias("place"), F.array("node").alias("path"), "node")], []
+        while True:
+            inner = max_depth is None or len(steps) < max_depth
+            step = places[-1].join(edges, "node").select("place", "path", "field", "kind", "target")
+            if inner:
+                step = step.join(known, "target", "left").withColumn("open", F.coalesce("known", F.lit(False)) & ~F.array_contains("path", F.col("target"))).drop("known")
+                step = step if few else traverse.written(step, "places")
+            steps.append(step)
+            if not inner or (not few and step.where("open").isEmpty()):
+                break
+            below = step.where("open")
+            places.append(below.select(F.concat("place", F.array("field", "target")).alias("place"), F.concat("path", F.array("target")).alias("path"), F.col("target").alias("node")))
+        value = None
+        for place, step in zip(reversed(places), reversed(steps)):
+            value = self._put_together(place, step, value)
+        return value.select(F.col("place")[0].alias("root"), "value")
+
+    def _put_together(self, places: DataFrame, steps: DataFrame, below: DataFrame | None) -> DataFrame:
+        """(place, value) of one level: fields by name, with the values of the level below or references to its nodes."""
+        ref = F.concat(F.lit('{"$ref":'), _quoted(F.col("target")), F.lit("}"))
+        if below is None:
+            linked = steps.withColumn("text", ref)
+        else:
+            linked = steps.withColumn("under", F.concat("place", F.array("field", "target"))).join(below.select(F.col("place").alias("under"), F.col("value").alias("text")), "under", "left")
+            linked = linked.withColumn("text", F.coalesce("text", ref))
+        own = places.join(self.fields.where("kind <> 'link'"), "node", "left").select("place", "field", "kind", F.lit(None).cast("string").alias("target"), _text().alias("text"))
+        rows = own.unionByName(linked.select("place", "field", "kind", "target", "text")).repartition("place")
+        held = F.sort_array(F.collect_list(F.when(F.col("kind") == "member", F.struct("target", "text"))))
+        fields = rows.groupBy("place", "field").agg(held.alias("held"), F.bool_or(F.col("kind").isin("set", "member")).alias("many"), F.min(F.when(~F.col("kind").isin("set", "member"), F.coalesce("text", F.lit("null")))).alias("text"))
+        members = F.concat(F.lit('{"$set":['), F.array_join(F.transform("held", lambda m: m["text"]), ","), F.lit("]}"))
+        pair = F.when(F.col("field").isNotNull(), F.struct("field", F.concat(_quoted(F.col("field")), F.lit(":"), F.when(F.col("many"), members).otherwise(F.col("text"))).alias("pair")))
+        made = fields.groupBy("place").agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+        head = F.concat(F.lit('"$id":'), _quoted(F.element_at("place", -1)))
+        return made.select("place", F.concat(F.lit("{"), F.array_join(F.concat(F.array(head), F.transform("pairs", lambda p: p["pair"])), ","), F.lit("}")).alias("value"))
 
     # queries
 
@@ -240,31 +251,6 @@ class Graph:
         return self.nodes.agg(F.count("*").alias("nodes")).crossJoin(counts).crossJoin(held)
 
 
-def nested(rows: pd.DataFrame, root: str, max_depth: int | None):
-    """Nested value of a node from the rows (node, field, kind, value) it reaches."""
-    state: dict[str, dict[str, list[tuple[str, str]]]] = {}
-    for node, name, kind, value in rows[["node", "field", "kind", "value"]].itertuples(index=False):
-        own = state.setdefault(node, {})
-        if kind != "node":
-            own.setdefault(name, []).append((kind, value))
-
-    def build(node: str, path: tuple[str, ...]):
-        if node in path or node not in state or (max_depth is not None and len(path) > max_depth):
-            return {"$ref": node}
-        out: dict = {"$id": node}
-        for name in sorted(state[node]):
-            held = state[node][name]
-            links = sorted(v for k, v in held if k == "member")
-            if links or any(k == "set" for k, _ in held):
-                out[name] = {"$set": [build(m, (*path, node)) for m in links]}
-                continue
-            kind, value = held[0]
-            out[name] = build(value, (*path, node)) if kind == "link" else {"$bytes": value} if kind == "bytes" else {"$blob": json.loads(value)} if kind == "blob" else json.loads(value)
-        return out
-
-    return build(root, ())
-
-
 def _quoted(text: Column) -> Column:
     """A string as JSON."""
     whole = F.to_json(F.struct(text.alias("x")))
@@ -275,6 +261,12 @@ def _marked(name: str, column: str) -> Column:
     return F.concat(F.lit(f'{{"{name}":'), _quoted(F.col(column)), F.lit("}"))
 
 
+def _text() -> Column:
+    """JSON of a field's value; links stay links."""
+    kind = F.col("kind")
+    return F.when(kind == "scalar", F.col("value")).when(kind == "link", _marked("$link", "value")).when(kind == "bytes", _marked("$bytes", "value")).when(kind == "blob", F.concat(F.lit('{"$blob":'), "value", F.lit("}")))
+
+
 def _variant_path(path: str) -> str:
     """A dotted path into a JSON value; whole numbers index arrays."""
     quoted = [f"[{s}]" if s.isdigit() else "['" + s.replace("\\", "\\\\").replace("'", "\\'") + "']" for s in path.split(".")]
