@@ -8,6 +8,8 @@ form but the least gets a number after its fingerprint.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from . import shared
 
 #: Documents in a range of ids; at most 2**16 ranges.
 RANGE_ROWS = 4096
+#: Parts over which the rows of one fingerprint are dealt while their forms are compared.
+SALT = 8
 
 
 def canonical(text: Column) -> Column:
@@ -32,10 +36,11 @@ def wide_hash(form: Column) -> Column:
 def colliding(forms: DataFrame) -> DataFrame:
     """Rows (fingerprint, form, number) of buckets whose canonical forms differ: none, as a rule.
 
-    Only buckets with more than one row are compared, and of equal forms one a task is sent on.
+    Only buckets with more than one row are compared; a large one is dealt over SALT tasks, of which each sends on one of equal forms.
     """
-    many = forms.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
-    distinct = forms.join(many, "fingerprint", "left_semi").distinct()
+    many = forms.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    dealt = forms.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALT)).cast("int"))
+    distinct = dealt.join(many, ["fingerprint", "salt"], "left_semi").select("fingerprint", "form").distinct()
     mixed = distinct.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     number = F.row_number().over(Window.partitionBy("fingerprint").orderBy("form")) - 1
     return distinct.join(mixed, "fingerprint", "left_semi").withColumn("number", number)
@@ -56,44 +61,47 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return base.join(clash, ["fingerprint", "form"], "left").withColumn("fingerprint", named).drop("number")
 
 
-def id_ranges(docs: DataFrame, id_col: str, rows: int = RANGE_ROWS) -> list[int]:
-    """First ids of consecutive ranges of ids with about `rows` rows each, the first range's excluded."""
+def id_ranges(docs: DataFrame, id_col: str, rows: int = RANGE_ROWS) -> list[str]:
+    """First ids, as text, of consecutive ranges of ids with about `rows` rows each, the first range's excluded."""
     n = docs.count()
     parts = min(-(-n // rows), 1 << 16)
     if parts < 2:
         return []
-    ids = docs.select(F.col(id_col).cast("long").alias("id")).where("id IS NOT NULL").repartitionByRange(parts, "id")
-    firsts = ids.select(F.spark_partition_id().alias("part"), "id").groupBy("part").agg(F.min("id").alias("id")).collect()
-    return sorted({r["id"] for r in firsts})[1:]
+    ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").repartitionByRange(parts, "id")
+    firsts = ids.select(F.spark_partition_id().alias("part"), "id").groupBy("part").agg(F.min("id").cast("string").alias("id")).collect()
+    return [r["id"] for r in sorted(firsts, key=lambda r: r["part"])][1:]
 
 
-def range_of(value: Column, firsts: list[int]) -> Column:
-    """Number of the range that holds an id, by binary search; null: the first."""
-    if not firsts:
-        return F.lit(0)
-    bounds = F.split(F.lit(",".join(map(str, firsts))), ",").cast("array<bigint>")
-    steps = F.array(*[F.lit(1 << j) for j in reversed(range(len(firsts).bit_length()))])
-    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= len(firsts)) & (F.try_element_at(bounds, at + s) <= value), at + s).otherwise(at)), F.lit(0))
+def range_of(value: Column, bounds: Column, n: int) -> Column:
+    """Number of the range that holds an id, by binary search in the `n` bounds; null: the first."""
+    steps = F.array(*[F.lit(1 << j) for j in reversed(range(n.bit_length()))])
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda at, s: F.when((at + s <= n) & (F.try_element_at(bounds, at + s) <= value), at + s).otherwise(at)), F.lit(0))
 
 
 def with_next(docs: DataFrame, id_col: str, cols: tuple[str, ...], text_col: str = "text") -> DataFrame:
     """Adds `next_<c>` for each of `cols`: the value of the next row by ascending id (null first, ties by text); after the last: the first.
 
-    Ids are whole numbers. Rows are dealt into ranges of ids, each with a copy of the next range's first rows, so that
-    rows are shuffled once and no task sees more than a range.
+    Ids are of any type with an order and a text form: numbers, strings, dates, times. Rows are dealt into ranges of ids,
+    each with a copy of the next range's first rows, so that rows are shuffled once and no task sees more than a range.
     """
     firsts = id_ranges(docs, id_col)
-    value = F.col(id_col).cast("long")
-    least = docs.agg(F.min(value), F.sum(F.col(id_col).isNull().cast("int"))).first()
-    first = value.isNull() if least[1] else value == F.lit(least[0])
-    part = range_of(value, firsts)
     last = len(firsts)
-    targets = F.array(F.struct(part.alias("part"), F.lit(0).alias("look")))
+    kind = docs.schema[id_col].dataType.simpleString()
+    value = F.col(id_col)
+    least = docs.agg(F.min(value), F.sum(value.isNull().cast("int"))).first()
+    first = value.isNull() if least[1] else value == F.lit(least[0])
+    none = F.array().cast("array<struct<part:int,look:int>>")
+    to = lambda part, look: F.array(F.struct(part.alias("part"), F.lit(look).alias("look")))
+    part, targets = F.lit(0), to(F.lit(0), 0)
     if firsts:
-        opens = F.array_contains(F.split(F.lit(",".join(map(str, firsts))), ","), value.cast("string"))
-        targets = F.concat(targets, F.when(opens, F.array(F.struct((part - 1).alias("part"), F.lit(1).alias("look")))).otherwise(F.array().cast("array<struct<part:int,look:int>>")))
-    targets = F.concat(targets, F.when(first, F.array(F.struct(F.lit(last).alias("part"), F.lit(2).alias("look")))).otherwise(F.array().cast("array<struct<part:int,look:int>>")))
-    dealt = docs.withColumn("to", F.explode(targets)).withColumn("part", F.col("to.part")).withColumn("look", F.col("to.look")).drop("to")
+        bounds = F.from_json(F.lit(json.dumps(firsts)), "array<string>").cast(f"array<{kind}>")
+        part = F.col("own_range")
+        # a range's first id is its bound; null and smaller ids are in the first range, which has none
+        opens = F.try_element_at(bounds, F.when(part > 0, part)) == value
+        targets = F.concat(to(part, 0), F.when(opens, to(part - 1, 1)).otherwise(none))
+        docs = docs.withColumn("own_range", range_of(value, bounds, last))
+    targets = F.concat(targets, F.when(first, to(F.lit(last), 2)).otherwise(none))
+    dealt = docs.withColumn("to", F.explode(targets)).withColumn("part", F.col("to.part")).withColumn("look", F.col("to.look")).drop("to", "own_range")
     order = Window.partitionBy("part").orderBy("look", F.col(id_col).asc_nulls_first(), text_col)
     return dealt.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in cols]).where("look = 0").drop("part", "look")
 

@@ -1,5 +1,6 @@
 """Fingerprints and the next document against plain Python."""
 
+import hashlib
 import re
 import unicodedata
 
@@ -46,3 +47,32 @@ def test_one_row_and_none(make):
     assert fingerprint.with_next(one, "doc_id", ("text",)).first()["next_text"] == "abcd"
     assert fingerprint.with_next(make([]).select("doc_id", "text"), "doc_id", ("text",)).collect() == []
     assert fingerprint.fingerprints(make([])).collect() == []
+
+
+@pytest.mark.parametrize("rows", [4, 4096])
+def test_ids_that_are_strings(make, monkeypatch, rows):
+    monkeypatch.setattr(fingerprint.id_ranges, "__defaults__", (rows,))
+    ids = ["b", 'a"q', "10", "9", "c,d", "é", "", None, "a\\z", "b"]
+    docs = make([(i, f"text {k}") for k, i in enumerate(ids)], "string").select("doc_id", "text")
+    own = sorted(((i, f"text {k}") for k, i in enumerate(ids)), key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    want = sorted(((i, t, own[(k + 1) % len(own)][1]) for k, (i, t) in enumerate(own)), key=str)
+    assert sorted((tuple(r) for r in fingerprint.with_next(docs, "doc_id", ("text",)).select("doc_id", "text", "next_text").collect()), key=str) == want
+
+
+def test_query_against_plain_python(spark, make, corpus, tmp_path):
+    rows = [(i, t) for i, t in dict(corpus).items() if i is not None] + [(300, "é" * 7), (301, "Ab\U0001f600cd\U0001f601")]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    own = sorted((i, t or "") for i, t in rows)
+    got = {r["doc_id"]: r for r in fingerprint.op4(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    edited = {}
+    for k, (i, t) in enumerate(own):
+        cut = len(t) // 4
+        edited[i] = t[: len(t) - cut] + own[(k + 1) % len(own)][1][:cut]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(edited[i].encode()).hexdigest()
+    forms = {}
+    for k, (i, t) in enumerate(own):
+        assert forms.setdefault(canon(t), got[i]["fingerprint"]) == got[i]["fingerprint"]
+        assert forms.setdefault(canon(edited[i]), got[i]["edited_fingerprint"]) == got[i]["edited_fingerprint"]
+        assert got[i]["near_edited"] == float(canon(t) == canon(edited[i])) and got[i]["near_next"] == float(canon(t) == canon(own[(k + 1) % len(own)][1]))
+    assert len(set(forms.values())) == len(forms)
