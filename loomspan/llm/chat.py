@@ -3,8 +3,9 @@
 A message is a row (conversation, turn, role, text). An assistant's text that is a JSON object with an array
 `tool_calls` makes calls: `id`, `name`, `arguments` (an object, or a string that holds one) and optionally `depends_on`,
 ids of calls whose results it needs. A tool's text that is an object with `tool_call_id` is a result. All other texts are
-plain content. Calls and results meet in a join by (conversation, id). Rows stay messages, so that a conversation of any
-length is never gathered.
+plain content. A system's text that is an object with an array `tools` declares tools with JSON schemas for the
+conversation: `name` and `parameters`, or both inside `function`. Calls and results meet in a join by (conversation, id),
+calls and schemas in one by (conversation, name). Rows stay messages, so that a conversation of any length is never gathered.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
+#: Copies of a declared tool, so that the calls of one tool in a long conversation are joined with it in that many tasks.
+SALT = 8
+
 
 def _type_matches(value: Column, kind: Column) -> Column:
     """Whether a variant has a JSON schema type; an unknown type matches nothing."""
@@ -59,13 +63,64 @@ def levels(calls: DataFrame) -> DataFrame:
         placed = placed.unionByName(ready)
 
 
+def declared_tools(messages: DataFrame) -> DataFrame:
+    """Rows (conv_id, name, schema): the tools that system messages declare, of one name the first; `schema` is JSON, null if none."""
+    parsed = messages.where("role = 'system'").withColumn("v", F.try_parse_json("text"))
+    named = parsed.select("conv_id", "turn", F.posexplode(F.try_variant_get("v", "$.tools", "array<variant>")).alias("idx", "t"))
+    named = named.withColumn("f", F.coalesce(F.try_variant_get("t", "$.function", "variant"), F.col("t")))
+    named = named.select("conv_id", "turn", "idx", F.try_variant_get("f", "$.name", "string").alias("name"), F.try_variant_get("f", "$.parameters", "string").alias("schema"))
+    return named.where("name IS NOT NULL").groupBy("conv_id", "name").agg(F.min(F.struct("turn", "idx", "schema")).alias("first")).select("conv_id", "name", "first.schema")
+
+
+def schema_errors(calls: DataFrame, tools: DataFrame) -> DataFrame:
+    """(conv_id, turn, idx, found): what is wrong with calls by the tools that their own conversations declare.
+
+    Checked are `type` (one or several), `enum`, `required`, `properties`, `additionalProperties: false` and `items`, at
+    any depth: a round checks the values of one depth and goes on with their members, each a row; rounds are written, so
+    their number is the depth of the schemas. Other keywords are ignored. A conversation without tools isn't checked.
+    """
+    key = ["conv_id", "turn", "idx"]
+    salted = tools.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    own = calls.join(tools.select("conv_id").distinct(), "conv_id", "left_semi").select(*key, "name", F.to_json("args").alias("value"))
+    own = own.withColumn("salt", F.pmod(F.xxhash64("turn", "idx"), F.lit(SALT)).cast("int"))
+    met = own.join(salted.withColumn("known", F.lit(True)), ["conv_id", "name", "salt"], "left")
+    errors = met.where("known IS NULL").select(*key, F.lit("unknown tool").alias("error"))
+    nodes = met.where("value IS NOT NULL AND schema IS NOT NULL").select(*key, F.lit("").alias("path"), "value", "schema")
+    members = lambda c: F.from_json(c, "map<string,variant>")
+    of = lambda what, kind: F.try_variant_get("s", what, kind)
+    below = lambda k: F.concat("path", F.when(F.col("path") == "", "").otherwise("."), k)
+    while True:
+        v = nodes.withColumn("v", F.try_parse_json("value")).withColumn("s", F.try_parse_json("schema"))
+        v = v.withColumn("kinds", F.coalesce(of("$.type", "array<string>"), F.array_compact(F.array(of("$.type", "string"))))).withColumn("enum", of("$.enum", "array<variant>"))
+        is_object = F.schema_of_variant("v").startswith("OBJECT")
+        v = v.withColumn("own", F.when(is_object, members(F.col("value")))).withColumn("props", F.coalesce(members(of("$.properties", "string")), members(F.lit("{}"))))
+        v = v.withColumn("values", F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>"))).withColumn("items", of("$.items", "string"))
+        here = lambda c: F.when(F.col("path") == "", F.lit("arguments")).otherwise(F.col("path")) if c is None else below(c)
+        told = F.concat(
+            F.when((F.size("kinds") > 0) & ~F.exists("kinds", lambda k: _type_matches(F.col("v"), k)), F.array(F.concat(F.lit("wrong type of "), here(None)))).otherwise(F.array().cast("array<string>")),
+            F.when(F.col("enum").isNotNull() & ~F.exists("enum", lambda e: F.to_json(e) == F.to_json("v")), F.array(F.concat(F.lit("value not allowed for "), here(None)))).otherwise(F.array().cast("array<string>")),
+            F.when(is_object, F.transform(F.filter(F.coalesce(of("$.required", "array<string>"), F.array().cast("array<string>")), lambda k: ~F.map_contains_key("own", k)), lambda k: F.concat(F.lit("missing argument "), here(k)))).otherwise(F.array().cast("array<string>")),
+            F.when(is_object & ~F.coalesce(of("$.additionalProperties", "boolean"), F.lit(True)), F.transform(F.filter(F.map_keys("own"), lambda k: ~F.map_contains_key("props", k)), lambda k: F.concat(F.lit("unknown argument "), here(k)))).otherwise(F.array().cast("array<string>")),
+        )
+        inner = F.concat(
+            F.coalesce(F.transform(F.filter(F.map_keys("own"), lambda k: F.map_contains_key("props", k)), lambda k: F.struct(below(k).alias("path"), F.to_json(F.element_at("own", k)).alias("value"), F.to_json(F.element_at("props", k)).alias("schema"))), F.array().cast("array<struct<path:string,value:string,schema:string>>")),
+            F.coalesce(F.when(F.col("items").isNotNull(), F.transform("values", lambda x, i: F.struct(F.concat("path", F.lit("["), i.cast("string"), F.lit("]")).alias("path"), F.to_json(x).alias("value"), F.col("items").alias("schema")))), F.array().cast("array<struct<path:string,value:string,schema:string>>")),
+        )
+        done = shared.written(v.select(*key, told.alias("told"), inner.alias("inner")), "schema-checks")
+        errors = errors.unionByName(done.select(*key, F.explode("told").alias("error")))
+        nodes = done.select(*key, F.explode("inner").alias("m")).select(*key, "m.path", "m.value", "m.schema")
+        if nodes.isEmpty():
+            return errors.groupBy(*key).agg(F.collect_set("error").alias("found"))
+
+
 def format_chat(messages: DataFrame, tools: DataFrame | None = None, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: conv_id, turn, role, n_calls, n_linked, n_invalid, json.
 
     `tools` has `name` and `parameters`, an array of structs (name, type, required). A call is invalid if its tool is
     unknown, its arguments are no object, one is missing, unknown or of another type, its id is missing or was used
-    before in the conversation, it depends on an unknown id, or on itself over others. Without `tools` arguments and tool
-    names aren't checked. `json` has sorted keys; calls stand in topological order, ties by place, each with the turn of
+    before in the conversation, it depends on an unknown id, or on itself over others. Tools that a conversation declares
+    itself are checked by their JSON schemas, nested ones too (`schema_errors`), beside those of `tools`. Without either,
+    arguments and tool names aren't checked. `json` has sorted keys; calls stand in topological order, ties by place, each with the turn of
     its result. A result has `linked`: whether the conversation has its call.
 
     Of several calls with one id the first by (turn, place) is linked, of several results the first by turn is named.
@@ -100,7 +155,11 @@ def format_chat(messages: DataFrame, tools: DataFrame | None = None, conv_id: st
             F.transform(F.filter(params, lambda p: F.map_contains_key(args, p["name"]) & ~_type_matches(F.element_at(args, p["name"]), p["type"])), lambda p: F.concat(F.lit("wrong type of "), p["name"])),
         ))
         errors = F.concat(errors, checks)
-    linked = linked.withColumn("errors", F.sort_array(errors))
+    linked = linked.withColumn("errors", errors)
+    declared = shared.written(declared_tools(base), "declared-tools")
+    if not declared.isEmpty():
+        linked = linked.join(schema_errors(calls, declared), ["conv_id", "turn", "idx"], "left").withColumn("errors", F.concat("errors", F.coalesce("found", F.array().cast("array<string>")))).drop("found")
+    linked = linked.withColumn("errors", F.sort_array(F.array_distinct("errors")))
     arguments = F.parse_json(F.to_json(F.map_from_entries(F.array_sort(F.map_entries("args"), lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)))))
     told = F.struct(arguments.alias("arguments"), F.when(F.size("depends_on") > 0, F.col("depends_on")).alias("depends_on"), F.when(F.size("errors") > 0, F.col("errors")).alias("errors"), "id", "level", "name", "result_turn")
     order = F.struct(F.coalesce("level", F.lit(2**31 - 1)).alias("level"), F.col("idx").alias("idx"), F.to_json(told).alias("json"))
@@ -125,7 +184,7 @@ def format_chat(messages: DataFrame, tools: DataFrame | None = None, conv_id: st
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
-    """All messages in canonical JSON with their tool calls linked."""
+    """All messages in canonical JSON with their tool calls linked, arguments checked by the tools that the conversations declare."""
     return format_chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 

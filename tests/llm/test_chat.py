@@ -39,3 +39,36 @@ def test_long_chains(spark):
     df = spark.createDataFrame([(1, 0, "assistant", json.dumps({"tool_calls": calls[::-1]}), "x", 1)], SCHEMA)
     made = json.loads(chat.format_chat(df).first()["json"])["tool_calls"]
     assert [(c["id"], c["level"]) for c in made] == [(str(i), i) for i in range(6)]
+
+
+def test_tools_that_conversations_declare(spark):
+    place = {"type": "object", "properties": {"city": {"type": "string"}, "at": {"type": "array", "items": {"type": "number"}}}, "required": ["city"], "additionalProperties": False}
+    go = {"type": "object", "properties": {"to": place, "by": {"enum": ["air", "sea", 3]}, "n": {"type": ["integer", "null"]}, "stops": {"type": "array", "items": place}}, "required": ["to"]}
+    system = json.dumps({"tools": [{"type": "function", "function": {"name": "go", "parameters": go}}, {"name": "free"}, {"name": "go", "parameters": {}}, {"noname": 1}]})
+    args = {
+        "good": {"to": {"city": "X", "at": [1, 2.5]}, "by": "sea", "n": None, "stops": [{"city": "Y"}], "else": 1},
+        "deep": {"to": {"at": [1, "2"], "zip": 9}, "by": "car", "n": 1.5, "stops": [{"city": "Y"}, {"city": 4}]},
+        "flat": {"to": "X", "by": 3, "n": 7, "stops": {}},
+        "none": {},
+    }
+    calls = [{"id": k, "name": "go", "arguments": a} for k, a in args.items()] + [{"id": "f", "name": "free", "arguments": {"any": [1]}}, {"id": "u", "name": "nope", "arguments": {}}, {"id": "l", "name": "go", "arguments": [1]}]
+    rows = [(1, 0, "system", system), (1, 1, "assistant", json.dumps({"tool_calls": calls})), (2, 0, "system", "plain"), (2, 1, "assistant", json.dumps({"tool_calls": calls[5:6]})), (None, 0, "system", system), (3, 0, "system", json.dumps({"tools": 5})), (4, 0, "system", None), (4, 0, "system", "")]
+    rows += rows[:1]
+    out = chat.format_chat(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()
+    assert len(out) == len(rows)
+    got = {(r["conv_id"], r["turn"]): r for r in out}
+    assert {c["id"]: c.get("errors", []) for c in json.loads(got[1, 1]["json"])["tool_calls"]} == {
+        "good": [], "f": [], "u": ["unknown tool"], "l": ["arguments are no object"], "none": ["missing argument to"],
+        "flat": ["wrong type of stops", "wrong type of to"],
+        "deep": ["missing argument to.city", "unknown argument to.zip", "value not allowed for by", "wrong type of n", "wrong type of stops[1].city", "wrong type of to.at[1]"],
+    }
+    assert got[1, 1]["n_invalid"] == 5 and got[2, 1]["n_invalid"] == 0
+
+
+def test_long_texts_and_many_calls(spark):
+    calls = [{"id": str(i), "name": "f", "arguments": {"x": i}} for i in range(3000)]
+    long = "z" * 2_000_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", json.dumps({"tool_calls": calls})), *[(1, 2 + i, "tool", json.dumps({"tool_call_id": str(i), "content": "r"})) for i in range(50)]]
+    got = {r["turn"]: r for r in chat.format_chat(spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)).collect()}
+    assert json.loads(got[0]["json"])["content"] == long and (got[1]["n_calls"], got[1]["n_linked"], got[1]["n_invalid"]) == (3000, 50, 0)
+    assert [c["id"] for c in json.loads(got[1]["json"])["tool_calls"]] == [str(i) for i in range(3000)]
