@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -23,7 +24,8 @@ from pyspark.sql import DataFrame
 
 from . import words
 
-_RAW = "script|style|noscript|template|title|svg|math|iframe|object|canvas|textarea|select|audio|video"
+#: Without their content: code, forms' fields, drawings, sources of formulas, and what browsers show only in place of what is embedded.
+_RAW = "script|style|noscript|template|title|svg|annotation|annotation-xml|iframe|object|canvas|textarea|select|audio|video"
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{_RAW})(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/a-zA-Z][^>]*(?:>|\Z)",
@@ -31,7 +33,10 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"\b(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.IGNORECASE)
 #: Tags and names that say what an element is for.
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover semantics".split()
+)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BOILERPLATE_TAGS = frozenset("nav footer aside form menu dialog button fieldset head".split())
 _ARTICLE_TAGS = frozenset("article main".split())
@@ -162,6 +167,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
     found, parts = [], []
     n_words = n_links = 0
     stack: list[tuple[str, int, bool]] = []  # block elements: tag, in boilerplate, in the article
+    opened: Counter[str] = Counter()  # of each tag on the stack, so that an end without a start costs no search
     bad, good, link = 0, False, False
 
     def flush() -> None:
@@ -183,7 +189,8 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
 
     def close(to: int) -> None:
         nonlocal bad, good
-        del stack[to:]
+        while len(stack) > to:
+            opened[stack.pop()[0]] -= 1
         bad, good = (stack[-1][1], stack[-1][2]) if stack else (0, False)
 
     at = 0
@@ -206,10 +213,11 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
         elif m["end"]:
             flush()
             link = False
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    close(i)
-                    break
+            if opened[tag]:
+                to = len(stack) - 1
+                while stack[to][0] != tag:
+                    to -= 1
+                close(to)
         else:
             flush()
             if stack and stack[-1][0] == "p":
@@ -221,6 +229,7 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             b, g = _place(tag, m["attrs"], good)
             bad, good = max(bad, b), (good or g) and not b
             stack.append((tag, bad, good))
+            opened[tag] += 1
     add(page[at:])
     flush()
     return found

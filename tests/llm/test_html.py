@@ -2,6 +2,7 @@
 
 import html as h
 import random
+import time
 
 import pytest
 
@@ -79,3 +80,26 @@ LONG, MORE = ("long " * 60).strip(), ("more " * 45).strip()
 )
 def test_marks_are_a_hint(source, text):
     assert htmltext.main_text(source) == text
+
+
+def test_formulas_stay_in_their_sentence():
+    assert htmltext.main_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math> holds</p></article>") == "so x=2 holds"
+
+
+@pytest.mark.parametrize("part", ["</span></section>", "<div>", "<div></section>", "<p>a", "<a '", "<!--", "<script>", "<li>b</ul>", "&amp;"])
+def test_time_grows_with_the_page(part):
+    def seconds(n):
+        source = "<article>" + "<div>" * n + part * n + "x"
+        return min(timed(source) for _ in range(3))
+
+    def timed(source):
+        began = time.process_time()
+        htmltext.main_text(source)
+        return time.process_time() - began
+
+    assert seconds(16_000) < 10 * seconds(4_000) + 0.05
+
+
+def test_long_page():
+    text = " ".join(["word"] * 400_000)
+    assert htmltext.main_text(f"<nav><a>Home</a></nav><article><p>{text}</p></article>") == text
